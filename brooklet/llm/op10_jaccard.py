@@ -4,11 +4,13 @@ Jaccard distance is a metric, but nearly all texts are at distance 1 from any pi
 nothing; a global pivot table would leave one region that holds everything. So pivots are taken where distances can be
 below 1: the universe of shingles is dealt into so many parts that any two sets within the radius agree on a whole part
 (their difference is smaller than the number of parts). Sets that agree on a part form a Voronoi region around the least
-of them, its pivot; a set lies in the region of each pivot that it may be near, and sets near the edge of a size ring
-are replicated into the next ring. Within a region distances to the pivot are exact: what lies within the radius links.
-Pairs of which one lies outside are joined recursively: the outer sets, and those inner sets whose distance to the pivot
-is within the radius of an outer one's (triangle-inequality window), form the region of the next round, under other
-parts; a region that fits a task is joined there. Nothing is dropped at any size: the result is the exact join's classes.
+of them, its pivot; a set lies in the region of each pivot that it may be near, and sets near the edge of a size
+ring are replicated into the next ring. A set's sketch has a byte for each part; sketches differ in at most as many bytes
+as sets in shingles, so their Hamming distance is a metric that bounds the sets' difference from below. Pairs of a set
+and its pivot that the bound allows are verified exactly and link within the radius. A region that then still holds
+several components is joined in itself: sets are sorted by their sketch's distance to the pivot, and only those within a
+triangle-inequality window of each other are compared; what the sketches allow is verified. Regions too large for a task
+are split by the next round's parts and pivots. Nothing is dropped at any size: the result is the exact join's classes.
 
 Shingles are compared as 64-bit hashes.
 """
@@ -101,24 +103,43 @@ def rings_of(n: int, num: int = 4, den: int = 5) -> tuple[int, ...]:
         j += 1
 
 
+def _parts(s: np.ndarray, j: int, seed: int) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """(numbers of the parts that aren't empty, hashes of their shingles, all parts, spare) of a set in ring j."""
+    _, parts, spare = ring(j)
+    base = mixed(s + U(seed) * MUL[0] + U(1))
+    part = (base % U(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    own = part[order]
+    first = np.concatenate([[0], np.flatnonzero(np.diff(own)) + 1])
+    return own[first], mixed(np.add.reduceat(mixed(base[order] ^ MUL[1]), first)), parts, spare
+
+
 def signatures(s: np.ndarray, seed: int = 0) -> np.ndarray:
-    """Keys of a set's parts in its rings. An empty part gives a key only where more parts are empty than are spare."""
+    """Keys of a set's parts in its rings; the ring is the key's low byte. An empty part gives a key only where more parts
+    are empty than are spare: linked sets agree on more parts than that, so they agree on one that isn't empty in both."""
     out = []
     for j in rings_of(len(s)):
-        _, parts, spare = ring(j)
-        base = mixed(s + U(seed) * MUL[0] + U(1))
-        part = (base % U(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        own = part[order]
-        first = np.concatenate([[0], np.flatnonzero(np.diff(own)) + 1])
-        total = np.add.reduceat(mixed(base[order] ^ MUL[1]), first)
+        own, total, parts, spare = _parts(s, j, seed)
         salt = U((j + 1) << 32) + U(seed + 1) * MUL[2]
-        out.append(mixed(total + mixed(own[first].astype(U) + salt)))
-        if parts - len(first) > spare:
-            out.append(mixed(mixed(np.setdiff1d(np.arange(parts), own).astype(U) + salt) ^ MUL[3]))
+        keys = [mixed(total + mixed(own.astype(U) + salt))]
+        if parts - len(own) > spare:
+            keys.append(mixed(mixed(np.setdiff1d(np.arange(parts), own).astype(U) + salt) ^ MUL[3]))
+        out += [(k & ~U(255)) | U(j) for k in keys]
     return np.concatenate(out) if out else np.zeros(0, dtype=U)
 
 
+def sketch(s: np.ndarray) -> tuple[list[int], list[bytes]]:
+    """Rings of a set, and for each a byte per part (0 for an empty one)."""
+    rings = list(rings_of(len(s)))
+    out = []
+    for j in rings:
+        own, total, parts, _ = _parts(s, j, 0)
+        row = np.zeros(parts, dtype=np.uint8)
+        row[own] = (total >> U(56)).astype(np.uint8)
+        out.append(row.tobytes())
+    return rings, out
+
+
 def _class(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) >> 1
 
@@ -160,8 +181,9 @@ def _keys_of(rows):
 
 
 def _stars(region: bool, rows):
-    """From rows sorted by (region, key, cls): (region, pivot, member) for each further set of a key; memory doesn't grow with a key's rows."""
-    last = (None, None, None, None)  # region, key, pivot, member
+    """From rows sorted by (region, key, cls): (region, ring, pivot, member) for each further set of a key; memory doesn't
+    grow with a key's rows."""
+    last = (None, None, 0, 0)  # region, key, pivot, member
     seen: set[tuple] = set()
     for batch in rows:
         r = batch.column(0).to_numpy() if region else np.zeros(batch.num_rows, dtype=np.int64)
@@ -170,9 +192,9 @@ def _stars(region: bool, rows):
             continue
         new = np.concatenate([[(r[0], k[0]) != last[:2]], (k[1:] != k[:-1]) | (r[1:] != r[:-1])])
         start = np.maximum.accumulate(np.where(new, np.arange(len(k)), -1))
-        pivot = np.where(start >= 0, c[np.maximum(start, 0)], last[2] if last[2] is not None else 0)
+        pivot = np.where(start >= 0, c[np.maximum(start, 0)], last[2])
         further = np.flatnonzero(c != pivot)
-        out = list(dict.fromkeys(zip(r[further].tolist(), pivot[further].tolist(), c[further].tolist(), strict=True)))
+        out = dict.fromkeys(zip(r[further].tolist(), (k[further] & 255).tolist(), pivot[further].tolist(), c[further].tolist(), strict=True))
         out = [x for x in out if x not in seen]
         if len(seen) > 500_000:
             seen.clear()
@@ -180,7 +202,22 @@ def _stars(region: bool, rows):
         last = (r[-1], k[-1], pivot[-1], c[-1])
         if out:
             cols = list(zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], names=["region", "pivot", "member"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], names=["region", "ring", "pivot", "member"])
+
+
+STARS = "region long, ring long, pivot long, member long"
+
+
+def _measured(rows):
+    """Adds ham, the distance of the two sketches in the ring, and near: whether it allows a link."""
+    for batch in rows:
+        get = {k: batch.column(k).to_pylist() for k in ("ring", "nm", "np", "rm", "rp", "km", "kp")}
+        ham, near = [], []
+        for j, nm, n_p, rm, rp, km, kp in zip(*get.values(), strict=True):
+            a, b = np.frombuffer(km[rm.index(j)], dtype=np.uint8), np.frombuffer(kp[rp.index(j)], dtype=np.uint8)
+            ham.append(int(np.count_nonzero(a != b)))
+            near.append(ham[-1] <= (nm + n_p) // 9)
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("region", "ring", "pivot", "member")), pa.array(ham, pa.int64()), pa.array(near, pa.bool_())], names=["region", "ring", "pivot", "member", "ham", "near"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -192,12 +229,37 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 LINKED = "100 * common >= 80 * (np + nm - common)"
-DISTANCE = "1D - common / CAST(np + nm - common AS DOUBLE)"
+
+def _window(key, table: pa.Table) -> pa.Table:
+    """Pairs of one region that may link though their components differ; a single row with dense where there are too many.
+
+    Sets are sorted by their distance to the pivot. By the triangle inequality a partner's distance differs by at most
+    the most that two linked sets of these sizes can.
+    """
+    order = np.argsort(table.column("ham").to_numpy(), kind="stable")
+    cls, comp, ham, n = (table.column(k).to_numpy()[order] for k in ("cls", "component", "ham", "n"))
+    rows = table.column("sketch").to_pylist()
+    grid = np.frombuffer(b"".join(rows[i] for i in order), dtype=np.uint8).reshape(len(order), -1)
+    most = 2 * int(n.max()) // 9
+    u, v, total = [], [], 0
+    for i in range(len(order)):
+        stop = int(np.searchsorted(ham, ham[i] + most, side="right"))
+        j = i + 1 + np.flatnonzero(comp[i + 1 : stop] != comp[i])
+        if len(j):
+            j = j[np.count_nonzero(grid[j] != grid[i], axis=1) <= (n[j] + n[i]) // 9]
+            u.append(np.full(len(j), cls[i]))
+            v.append(cls[j])
+            total += len(j)
+            if total > 50 * len(order):
+                return pa.table({"u": pa.array([None], pa.int64()), "v": pa.array([None], pa.int64()), "dense": pa.array([key[0].as_py()], pa.int64())})
+    u, v = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (u, v))
+    return pa.table({"u": pa.array(u), "v": pa.array(v), "dense": pa.nulls(len(u), pa.int64())})
+
 
 
 def _leaf(key, table: pa.Table) -> pa.Table:
-    """Links of one region's sets, as a spanning forest: each outer set against all others through postings of shingles."""
-    cls, outer, comp = (table.column(k).to_numpy() for k in ("cls", "outer", "component"))
+    """Links of one region's sets, as a spanning forest: each set against all others through postings of shingles."""
+    cls, comp = (table.column(k).to_numpy() for k in ("cls", "component"))
     sets = [np.array(x, dtype=np.int64) for x in table.column("s").to_pylist()]
     size = np.array([len(s) for s in sets])
     owner = np.repeat(np.arange(len(sets)), size)
@@ -206,7 +268,7 @@ def _leaf(key, table: pa.Table) -> pa.Table:
     posting = owner[order]
     begin = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(terms)))])
     ends, label, out = np.cumsum(size), comp.copy(), []
-    for i in np.flatnonzero(outer):
+    for i in range(len(sets)):
         own = at[ends[i] - size[i] : ends[i]]
         near = np.concatenate([posting[begin[t] : begin[t + 1]] for t in own])
         common = np.bincount(near, minlength=len(sets))
@@ -230,60 +292,75 @@ def _with_component(df: DataFrame, comp: DataFrame, column: str, name: str) -> D
     return df.join(c, column, "left").withColumn(name, F.coalesce(name, column))
 
 
-def class_links(docs: DataFrame, classes: DataFrame, leaf: int = 2_000_000, broadcast_rows: int = 500_000) -> DataFrame | None:
+def class_links(docs: DataFrame, classes: DataFrame, most_members: int = 20_000, broadcast_rows: int = 500_000) -> DataFrame | None:
     """Components (node, component) of the classes of equal sets; None where no two sets can be near.
 
-    leaf: shingles of a region that is joined in one task; larger regions go to the next round.
+    most_members: sets of a region that one task joins; larger regions go to the next round.
     """
-    keys = _texts(docs).mapInArrow(_keys_of, "key long, cls long")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = keys.repartition(parts, "key").sortWithinPartitions("key", "cls")
-    stars = stored(dealt.mapInArrow(functools.partial(_stars, False), "region long, pivot long, member long").distinct(), "stars")
+    keys = _texts(docs).mapInArrow(_keys_of, "key long, cls long").repartition(parts, "key").sortWithinPartitions("key", "cls")
+    stars = stored(keys.mapInArrow(functools.partial(_stars, False), STARS).distinct(), "stars")
     near = stars.select(F.explode(F.array("pivot", "member")).alias("cls")).distinct()
     ids = stored(classes.join(near, "cls").select("doc_id", "cls"), "near")
     n = ids.count()
     if not n:
         return None
-    own = _texts(docs).join(F.broadcast(ids) if n <= broadcast_rows else ids, "doc_id").select("cls", "text").dropDuplicates(["cls"])
+    own = _texts(docs).join(F.broadcast(ids) if n <= broadcast_rows else ids, "doc_id").select("cls", "text")
 
     def make(rows):
         for batch in rows:
-            got = [shingle_set(t).view(np.int64) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.list_(pa.int64()))], names=["cls", "s"])
-
-    sets = stored(own.mapInArrow(make, "cls long, s array<long>"), "sets")
+            sets = [shingle_set(t) for t in batch.column(1).to_pylist()]
+            mine = [c == _class(s) for c, s in zip(batch.column(0).to_pylist(), sets, strict=True)]  # not of another text with the same id
+            sets = [s for s, m in zip(sets, mine, strict=True) if m]
+            drawn = [sketch(s) for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).filter(pa.array(mine, pa.bool_())), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([d[0] for d in drawn], pa.list_(pa.int64())), pa.array([d[1] for d in drawn], pa.list_(pa.binary()))],
+                names=["cls", "n", "s", "rings", "sketches"],
+            )
+
+    sets = stored(own.mapInArrow(make, "cls long, n long, s array<long>, rings array<long>, sketches array<binary>"), "sets")
     links, comp, seed = [], None, 1
-    while True:
-        # One pivot a set first: what these links connect needs no further distances.
-        nearest = stars.groupBy("member").agg(F.min("pivot").alias("pivot"))
-        if comp is not None:
-            nearest = _with_component(_with_component(nearest, comp, "member", "cm"), comp, "pivot", "cp").where("cm != cp").drop("cm", "cp")
-        links.append(stored(_verified(nearest, sets).where(LINKED).select(F.col("pivot").alias("u"), F.col("member").alias("v")), "links"))
-        comp = stored(components(functools.reduce(DataFrame.unionByName, links)), "components")
-        rest = _with_component(_with_component(stars, comp, "member", "cm"), comp, "pivot", "cp").where("cm != cp").drop("cm", "cp")
-        far = stored(_verified(rest, sets).withColumn("linked", F.expr(LINKED)).withColumn("d", F.expr(DISTANCE)).select("region", "pivot", "member", "linked", "d"), "far")
-        links.append(far.where("linked").select(F.col("pivot").alias("u"), F.col("member").alias("v")))
-        comp = stored(components(functools.reduce(DataFrame.unionByName, links)), "components")
-        # Regions with sets outside the radius: these, and the inner sets in their windows, are joined among themselves.
-        outer = far.where("not linked")
-        span = outer.groupBy("region", "pivot").agg(F.min("d").alias("least"))
-        inner = stars.join(span, ["region", "pivot"]).join(outer.select("region", "pivot", "member"), ["region", "pivot", "member"], "left_anti")
-        inner = _verified(inner, sets).withColumn("d", F.expr(DISTANCE)).where("d >= least - 0.2000001D").select("region", "pivot", "member", F.lit(0).alias("outer"))
-        both = outer.select("region", "pivot", "member", F.lit(1).alias("outer")).unionByName(inner)
-        both = both.select(F.xxhash64("region", "pivot").alias("region"), F.col("member").alias("cls"), "outer")
-        both = stored(_with_component(both, comp, "cls", "component").join(sets, "cls"), "regions")
-        sizes = both.groupBy("region").agg(F.sum(F.size("s")).alias("load"), F.count(F.lit(1)).alias("members"), F.min("component").alias("c0"), F.max("component").alias("c1"))
-        sizes = stored(sizes.where("members > 1 and c0 != c1").select("region", "load"), "sizes")
-        small = both.join(sizes.where(F.col("load") <= leaf).select("region"), "region")
-        found = small.groupBy("region").applyInArrow(lambda key, t: _leaf(key, t), "u long, v long")
-        links.append(stored(found, "leaves"))
+
+    def link(pairs: DataFrame) -> None:
+        nonlocal comp
+        found = _verified(pairs, sets).where(LINKED).select(F.col("pivot").alias("u"), F.col("member").alias("v"))
+        links.append(stored(found, "links"))
         comp = stored(components(functools.reduce(DataFrame.unionByName, links)), "components")
-        large = both.join(sizes.where(F.col("load") > leaf).select("region"), "region")
-        if not sizes.where(F.col("load") > leaf).limit(1).count():
+
+    def apart(pairs: DataFrame) -> DataFrame:
+        """Pairs whose sets no links connect so far: only these need to be verified."""
+        if comp is None:
+            return pairs
+        return _with_component(_with_component(pairs, comp, "member", "cm"), comp, "pivot", "cp").where("cm != cp").drop("cm", "cp")
+
+    while True:
+        one, two = (sets.select(F.col("cls").alias(c), F.col("n").alias(f"n{k}"), F.col("rings").alias(f"r{k}"), F.col("sketches").alias(f"k{k}")) for c, k in (("member", "m"), ("pivot", "p")))
+        stars = stored(stars.join(one, "member").join(two, "pivot").mapInArrow(_measured, STARS + ", ham long, near boolean"), "measured")
+        maybe = stars.where("near").select("pivot", "member").distinct()
+        link(apart(maybe).groupBy("member").agg(F.min("pivot").alias("pivot")))
+        link(apart(maybe))
+        # Pairs with the pivot are settled. Regions whose other sets still lie in several components are joined in themselves.
+        both = stars.select(F.xxhash64("region", "ring", "pivot").alias("region"), "ring", F.col("member").alias("cls"), "ham")
+        both = stored(_with_component(both, comp, "cls", "component"), "regions")
+        sizes = both.groupBy("region").agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("c0"), F.max("component").alias("c1"))
+        sizes = stored(sizes.where("c0 != c1").select("region", "members"), "sizes")
+        drawn = sets.select("cls", "n", "rings", "sketches")
+        small = both.join(sizes.where(F.col("members") <= most_members).select("region"), "region").join(drawn, "cls")
+        small = small.select("region", "cls", "component", "ham", "n", F.element_at("sketches", F.array_position("rings", F.col("ring")).cast("int")).alias("sketch"))
+        found = stored(small.groupBy("region").applyInArrow(lambda key, t: _window(key, t), "u long, v long, dense long"), "windows")
+        link(found.where("dense is null").select(F.least("u", "v").alias("pivot"), F.greatest("u", "v").alias("member")).distinct())
+        dense = found.where("dense is not null").select(F.col("dense").alias("region"))
+        if dense.limit(1).count():
+            whole = both.join(dense, "region").join(sets.select("cls", "s"), "cls").select("region", "cls", "component", "s")
+            links.append(stored(whole.groupBy("region").applyInArrow(lambda key, t: _leaf(key, t), "u long, v long"), "leaves"))
+            comp = stored(components(functools.reduce(DataFrame.unionByName, links)), "components")
+        large = sizes.where(F.col("members") > most_members).select("region")
+        if not large.limit(1).count():
             return comp
-        keys = large.select("region", "cls", "s").mapInArrow(functools.partial(_region_keys, seed), "region long, key long, cls long")
-        dealt = keys.repartition(parts, "region", "key").sortWithinPartitions("region", "key", "cls")
-        stars = stored(dealt.mapInArrow(functools.partial(_stars, True), "region long, pivot long, member long").distinct(), "stars")
+        again = both.join(large, "region").join(sets.select("cls", "s"), "cls").select("region", "cls", "s")
+        keys = again.mapInArrow(functools.partial(_region_keys, seed), "region long, key long, cls long")
+        keys = keys.repartition(parts, "region", "key").sortWithinPartitions("region", "key", "cls")
+        stars = stored(keys.mapInArrow(functools.partial(_stars, True), STARS).distinct(), "stars")
         seed += 1
 
 
