@@ -291,7 +291,9 @@ class Pipeline:
         lane = resolve(predicate, state.element, state.native)
         if lane[0] == "column":
             kind = state.df.select(lane[1].alias("c")).schema["c"].dataType
-            return _State(state.df.where(truthy(lane[1], kind)), state.kind, state.order, state.native)
+            # A boolean goes to the scan as it is: where() drops nulls, and a coalesce would keep it from being pushed down.
+            test = lane[1] if isinstance(kind, T.BooleanType) else truthy(lane[1], kind)
+            return _State(state.df.where(test), state.kind, state.order, state.native)
         _, fn, _, n = lane
         kind, names = state.kind, state.names
 
