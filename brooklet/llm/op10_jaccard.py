@@ -231,7 +231,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 LINKED = "100 * common >= 80 * (np + nm - common)"
 
 def _window(key, table: pa.Table) -> pa.Table:
-    """Pairs of one region that may link though their components differ; a single row with dense where there are too many.
+    """Sets of one region that may link with one of another component: a row for each, however many partners it has.
 
     Sets are sorted by their distance to the pivot. By the triangle inequality a partner's distance differs by at most
     the most that two linked sets of these sizes can.
@@ -240,21 +240,18 @@ def _window(key, table: pa.Table) -> pa.Table:
     cls, comp, ham, n = (table.column(k).to_numpy()[order] for k in ("cls", "component", "ham", "n"))
     rows = table.column("sketch").to_pylist()
     grid = np.frombuffer(b"".join(rows[i] for i in order), dtype=np.uint8).reshape(len(order), -1)
-    most = 2 * int(n.max()) // 9
-    u, v, total = [], [], 0
+    most, active = 2 * int(n.max()) // 9, np.zeros(len(order), dtype=bool)
     for i in range(len(order)):
         stop = int(np.searchsorted(ham, ham[i] + most, side="right"))
         j = i + 1 + np.flatnonzero(comp[i + 1 : stop] != comp[i])
+        if active[i]:
+            j = j[~active[j]]
         if len(j):
             j = j[np.count_nonzero(grid[j] != grid[i], axis=1) <= (n[j] + n[i]) // 9]
-            u.append(np.full(len(j), cls[i]))
-            v.append(cls[j])
-            total += len(j)
-            if total > 50 * len(order):
-                return pa.table({"u": pa.array([None], pa.int64()), "v": pa.array([None], pa.int64()), "dense": pa.array([key[0].as_py()], pa.int64())})
-    u, v = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (u, v))
-    return pa.table({"u": pa.array(u), "v": pa.array(v), "dense": pa.nulls(len(u), pa.int64())})
-
+            active[j] = True
+            active[i] |= len(j) > 0
+    own = cls[active]
+    return pa.table({"region": pa.array(np.full(len(own), key[0].as_py()), pa.int64()), "cls": pa.array(own, pa.int64()), "component": pa.array(comp[active], pa.int64())})
 
 
 def _leaf(key, table: pa.Table) -> pa.Table:
@@ -347,13 +344,10 @@ def class_links(docs: DataFrame, classes: DataFrame, most_members: int = 20_000,
         drawn = sets.select("cls", "n", "rings", "sketches")
         small = both.join(sizes.where(F.col("members") <= most_members).select("region"), "region").join(drawn, "cls")
         small = small.select("region", "cls", "component", "ham", "n", F.element_at("sketches", F.array_position("rings", F.col("ring")).cast("int")).alias("sketch"))
-        found = stored(small.groupBy("region").applyInArrow(lambda key, t: _window(key, t), "u long, v long, dense long"), "windows")
-        link(found.where("dense is null").select(F.least("u", "v").alias("pivot"), F.greatest("u", "v").alias("member")).distinct())
-        dense = found.where("dense is not null").select(F.col("dense").alias("region"))
-        if dense.limit(1).count():
-            whole = both.join(dense, "region").join(sets.select("cls", "s"), "cls").select("region", "cls", "component", "s")
-            links.append(stored(whole.groupBy("region").applyInArrow(lambda key, t: _leaf(key, t), "u long, v long"), "leaves"))
-            comp = stored(components(functools.reduce(DataFrame.unionByName, links)), "components")
+        active = stored(small.groupBy("region").applyInArrow(lambda key, t: _window(key, t), "region long, cls long, component long"), "windows")
+        whole = active.join(sets.select("cls", "s"), "cls")
+        links.append(stored(whole.groupBy("region").applyInArrow(lambda key, t: _leaf(key, t), "u long, v long"), "leaves"))
+        comp = stored(components(functools.reduce(DataFrame.unionByName, links)), "components")
         large = sizes.where(F.col("members") > most_members).select("region")
         if not large.limit(1).count():
             return comp
