@@ -25,6 +25,19 @@ def _alphabet() -> dict[int, int]:
 ALPHABET = _alphabet()
 
 
+class Chunks(dict):
+    """Ids of chunks that follow a space; False for a chunk that its text must not be cut at. Bounded by starting anew."""
+
+    def __init__(self, make, limit: int):
+        self.make, self.limit = make, limit
+
+    def __missing__(self, chunk: str):
+        if len(self) >= self.limit:
+            self.clear()
+        self[chunk] = ids = self.make(chunk)
+        return ids
+
+
 class ChunkEncoder:
     """Ids of whole texts as little-endian uint32 bytes, as tokenizers gives them with add_special_tokens=False.
 
@@ -37,7 +50,8 @@ class ChunkEncoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.lib, self.limit, self.cache, self.part = Tokenizer.from_file(path), limit, {}, {}
+        self.lib = Tokenizer.from_file(path)
+        self.cache, self.tails = Chunks(self.learn, limit), Chunks(self.bpe, limit // 10)
         self.model = self.lib.model
         self.lower = self.whole("A") == self.whole("a")  # the family that lower-cases also drops white space
         self.lead = "" if self.lower else " "
@@ -45,23 +59,15 @@ class ChunkEncoder:
     def whole(self, text: str) -> bytes:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def learn(self, words: list[str]) -> None:
-        """Put chunks that follow a space into the cache."""
-        cache, part = self.cache, self.part
-        for w in words:
-            if not w or w[0].isspace() or w[-1].isspace():
-                cache[w] = False
-                continue
-            core = w.rstrip(MARKS)
-            if core.isalpha() and (core.isascii() or (ord(max(core)) < 0x250 and "\u0130" not in core and is_normalized("NFC", core))):
-                if (got := cache.get(core)) is None:
-                    got = cache[core] = self.bpe(self.lead + core)
-                if len(core) < len(w):
-                    if (tail := part.get(w[len(core) :])) is None:
-                        tail = part[w[len(core) :]] = self.bpe(w[len(core) :])
-                    cache[w] = got + tail
-            else:
-                cache[w] = self.whole(" " + w)
+    def learn(self, w: str):
+        if not w or w[0].isspace() or w[-1].isspace():
+            return False
+        core = w.rstrip(MARKS)
+        if core.isalpha() and (core.isascii() or (ord(max(core)) < 0x250 and "\u0130" not in core and is_normalized("NFC", core))):
+            if len(core) == len(w):
+                return self.bpe(self.lead + core)
+            return self.cache[core] + self.tails[w[len(core) :]]
+        return self.whole(" " + w)
 
     def bpe(self, token: str) -> bytes:
         """Ids of one pre-token by the library's model, which takes it in the byte-level alphabet."""
@@ -71,24 +77,18 @@ class ChunkEncoder:
             token = token.encode().decode("latin-1").translate(ALPHABET)
         return np.array([t.id for t in self.model.tokenize(token)], dtype="<u4").tobytes()
 
+    def one(self, text: str) -> bytes:
+        head, *rest = text.split(" ")
+        if rest and head[-1:].isspace():
+            return self.whole(text)
+        try:
+            tail = b"".join(map(self.cache.__getitem__, rest))
+        except TypeError:  # a chunk that the text must not be cut at
+            return self.whole(text)
+        return self.whole(head) + tail if head else tail
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        cache = self.cache
-        if len(cache) > self.limit:
-            cache.clear()
-            self.part.clear()
-        split = [t.split(" ") for t in texts]
-        found = [list(map(cache.get, q[1:])) for q in split]
-        if new := {w for q, f in zip(split, found, strict=True) if None in f for w, v in zip(q[1:], f, strict=True) if v is None}:
-            self.learn(list(new))
-        out = []
-        for text, q, f in zip(texts, split, found, strict=True):
-            if None in f:
-                f = list(map(cache.__getitem__, q[1:]))
-            if False in f or (len(q) > 1 and q[0][-1:].isspace()):
-                out.append(self.whole(text))
-            else:
-                out.append((self.whole(q[0]) if q[0] else b"") + b"".join(f))
-        return out
+        return [self.one(t) for t in texts]
 
 
 @functools.lru_cache(maxsize=4)
