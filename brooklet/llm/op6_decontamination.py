@@ -125,12 +125,27 @@ class Index:
         return out
 
 
+class Numbers(dict):
+    """Term numbers of raw words: 0 for a word that no item has, -1 for marks alone. Bounded by starting anew."""
+
+    def __init__(self, terms: dict[str, int], limit: int):
+        self.terms, self.limit = terms, limit
+
+    def __missing__(self, raw: str) -> int:
+        if len(self) >= self.limit:
+            self.clear()
+        word = raw.strip(EDGES)
+        self[raw] = number = self.terms.get(word, 0) if word else -1
+        return number
+
+
 class Benchmark:
     """All items, one index for each doubling of their length, so that passages fit and short items don't loosen the bounds of long ones."""
 
     def __init__(self, items: list[tuple[int, list[str], list[str]]], limit: int = 300_000):
         items = [x for x in items if x[1] or x[2]]
-        self.limit, self.words, self.terms = limit, {}, {}
+        self.terms: dict[str, int] = {}
+        self.words = Numbers(self.terms, limit)
         df, n = Counter(w for _, q, a in items for w in {*q, *a}), len(items)
         for w in df:
             self.terms[w] = len(self.terms) + 1
@@ -144,16 +159,8 @@ class Benchmark:
     def look(self, text: str) -> np.ndarray:
         """Term numbers of the words of text, 0 where no item has them; words of marks alone are left out."""
         raw = text.lower().split()
-        got = list(map(self.words.get, raw))
-        if None in got:
-            if len(self.words) > self.limit:
-                self.words.clear()
-            for k, v in enumerate(got):
-                if v is None:
-                    s = raw[k].strip(EDGES)
-                    got[k] = self.words[raw[k]] = self.terms.get(s, 0) if s else -1
-        out = np.array(got, dtype=np.int64)
-        return out[out >= 0] if -1 in got else out
+        out = np.fromiter(map(self.words.__getitem__, raw), dtype=np.int64, count=len(raw))
+        return out[out >= 0] if len(out) and out.min() < 0 else out
 
     def matches(self, text: str, least: float, overlap: float) -> list[tuple[int, float, float, float]]:
         """(item id, score, question overlap, answer overlap): verified items of a text, the best passage of each."""
