@@ -161,7 +161,9 @@ class Labeller:
         return out
 
     def label(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Labels of the words with letters, and their numbers of letters."""
+        """Labels of the words with letters, and their numbers of letters; nothing where nothing was learned."""
+        if not self.names:
+            return np.zeros(0, dtype=np.int64), np.zeros(0)
         words = text.lower().split()
         at = list(map(self.rows.get, words))
         if None in at:
@@ -172,7 +174,7 @@ class Labeller:
             at = list(map(self.rows.__getitem__, words))
         at = np.array(at, dtype=np.int64)
         at = at[at >= 0]
-        if not len(at) or not self.names:
+        if not len(at):
             return np.zeros(0, dtype=np.int64), np.zeros(0)
         return self.path(self.table[at]), self.weight[at]
 
