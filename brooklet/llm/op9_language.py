@@ -108,9 +108,9 @@ def train(docs: DataFrame, per_language: int = 400, languages: int = 200) -> byt
 class Labeller:
     """Labels whole texts; limit bounds the words kept."""
 
-    def __init__(self, model: bytes, penalty: float = 8.0, limit: int = 300_000):
+    def __init__(self, model: bytes, penalty: float = 16.0, limit: int = 300_000):
         self.names, self.logp, self.scripts = pickle.loads(model)
-        self.penalty, self.limit = penalty, limit
+        self.penalty, self.limit, self.floor = penalty, limit, -6.0
         self.reset()
 
     def reset(self) -> None:
@@ -131,7 +131,7 @@ class Labeller:
         allowed[~allowed.any(1)] = True  # a script that no training text has narrows nothing
         score = np.where(allowed, score, score.min(1, keepdims=True) - 20)
         score -= score.max(1, keepdims=True)
-        np.maximum(score, -12, out=score)  # one odd word alone doesn't decide
+        np.maximum(score, self.floor, out=score)  # one odd word alone doesn't decide
         while self.n + len(lettered) > len(self.table):
             self.table, self.weight = np.vstack([self.table, np.zeros_like(self.table)]), np.concatenate([self.weight, self.weight * 0])
         self.table[self.n : self.n + len(lettered)] = score
@@ -147,18 +147,23 @@ class Labeller:
         low = np.minimum(np.minimum.accumulate(gain, axis=0), 0)
         if float((gain - np.vstack([np.zeros((1, s.shape[1])), low[:-1]])).max()) <= self.penalty:
             return np.full(len(s), best)
-        back, total = np.empty(s.shape, dtype=np.int32), s[0].astype(np.float64)
-        stay = np.arange(s.shape[1])
-        for t in range(1, len(s)):
-            top = int(total.argmax())
-            move = total[top] - self.penalty > total
-            back[t] = np.where(move, top, stay)
-            total = np.where(move, total[top] - self.penalty, total) + s[t]
-        out = np.empty(len(s), dtype=np.int64)
-        out[-1] = total.argmax()
-        for t in range(len(s) - 1, 0, -1):
-            out[t - 1] = back[t, out[t]]
-        return out
+        rows = s.astype(np.float64).tolist()
+        total, back, penalty = rows[0], [], self.penalty
+        for r in rows[1:]:
+            cut = max(total) - penalty
+            if min(total) >= cut:
+                back.append(None)  # all stay
+            else:
+                top = total.index(max(total))
+                back.append([x if v >= cut else top for x, v in enumerate(total)])
+                total = [v if v >= cut else cut for v in total]
+            total = [v + x for v, x in zip(total, r, strict=True)]
+        at = total.index(max(total))
+        out = [at]
+        for move in reversed(back):
+            at = at if move is None else move[at]
+            out.append(at)
+        return np.array(out[::-1], dtype=np.int64)
 
     def label(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Labels of the words with letters, and their numbers of letters; nothing where nothing was learned."""
@@ -198,7 +203,7 @@ def _labeller(key: int, model: bytes, penalty: float) -> Labeller:
     return Labeller(model, penalty)
 
 
-def predict(docs: DataFrame, model: bytes, penalty: float = 8.0) -> DataFrame:
+def predict(docs: DataFrame, model: bytes, penalty: float = 16.0) -> DataFrame:
     """Rows (doc_id, held_out, lang_pred, score): the language of most letters, and its share of them.
 
     `und` and 0 for null text or text without a letter (and for all, where nothing was learned). No shuffle; rows with
@@ -217,7 +222,7 @@ def predict(docs: DataFrame, model: bytes, penalty: float = 8.0) -> DataFrame:
     return rows.mapInArrow(label, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, model: bytes, least: float = 0.5, penalty: float = 8.0) -> DataFrame:
+def keep_known(docs: DataFrame, model: bytes, least: float = 0.5, penalty: float = 16.0) -> DataFrame:
     """Rows of docs, with all their columns, whose text has a language: not `und`, and that language holds `least` of the letters."""
     sent, key = docs.sparkSession.sparkContext.broadcast(model), zlib.crc32(model)
     at = docs.columns.index("text")
