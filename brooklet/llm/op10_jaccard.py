@@ -316,13 +316,20 @@ def class_links(docs: DataFrame, classes: DataFrame, most_members: int = 20_000,
             )
 
     sets = stored(own.mapInArrow(make, "cls long, n long, s array<long>, rings array<long>, sketches array<binary>"), "sets")
-    links, comp, seed = [], None, 1
+    comp, seed = None, 1
 
-    def link(pairs: DataFrame) -> None:
+    def add(links: DataFrame) -> None:
+        """Components of what is known, one edge for each node, and new links; nothing to do without new links."""
         nonlocal comp
-        found = _verified(pairs, sets).where(LINKED).select(F.col("pivot").alias("u"), F.col("member").alias("v"))
-        links.append(stored(found, "links"))
-        comp = stored(components(functools.reduce(DataFrame.unionByName, links)), "components")
+        links = stored(links, "links")
+        if comp is None:
+            comp = stored(components(links), "components")
+        elif links.limit(1).count():
+            known = comp.select(F.col("node").alias("u"), F.col("component").alias("v"))
+            comp = stored(components(known.unionByName(links)), "components")
+
+    def link(pairs: DataFrame) -> None:
+        add(_verified(pairs, sets).where(LINKED).select(F.col("pivot").alias("u"), F.col("member").alias("v")))
 
     def apart(pairs: DataFrame) -> DataFrame:
         """Pairs whose sets no links connect so far: only these need to be verified."""
@@ -346,8 +353,7 @@ def class_links(docs: DataFrame, classes: DataFrame, most_members: int = 20_000,
         small = small.select("region", "cls", "component", "ham", "n", F.element_at("sketches", F.array_position("rings", F.col("ring")).cast("int")).alias("sketch"))
         active = stored(small.groupBy("region").applyInArrow(lambda key, t: _window(key, t), "region long, cls long, component long"), "windows")
         whole = active.join(sets.select("cls", "s"), "cls")
-        links.append(stored(whole.groupBy("region").applyInArrow(lambda key, t: _leaf(key, t), "u long, v long"), "leaves"))
-        comp = stored(components(functools.reduce(DataFrame.unionByName, links)), "components")
+        add(whole.groupBy("region").applyInArrow(lambda key, t: _leaf(key, t), "u long, v long"))
         large = sizes.where(F.col("members") > most_members).select("region")
         if not large.limit(1).count():
             return comp
