@@ -44,7 +44,7 @@ class Words(dict):
     """64-bit hashes of words; bounded by starting anew."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -148,11 +148,23 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
 
-def _sets_of(rows):
+def _slices(rows, size: int = 500):
+    """The batches of rows, cut: what a task holds beside a batch doesn't grow with its rows."""
     for batch in rows:
-        ids, texts = batch.column(0), batch.column(1).to_pylist()
-        sets = [shingle_set(t) for t in texts]
-        yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([_class(s) for s in sets], pa.int64())], names=["doc_id", "n", "cls"])
+        for at in range(0, batch.num_rows, size):
+            yield batch.slice(at, size)
+
+
+def _arrays(column) -> list[np.ndarray]:
+    """The lists of a column of array<long>, as views of one buffer."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.split(column.flatten().to_numpy(), np.cumsum(column.value_lengths().to_numpy())[:-1])
+
+
+def _sets_of(rows):
+    for batch in _slices(rows):
+        found = [(len(s), _class(s)) for s in map(shingle_set, batch.column(1).to_pylist())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["doc_id", "n", "cls"])
 
 
 def _keys_of(rows):
@@ -160,13 +172,13 @@ def _keys_of(rows):
     seen: set[int] = set()
     keys, classes, n = [], [], 0
     names = ["key", "cls"]
-    for batch in rows:
+    for batch in _slices(rows):
         for text in batch.column(1).to_pylist():
             s = shingle_set(text)
             c = _class(s)
             if not len(s) or c in seen:
                 continue
-            if len(seen) > 1_000_000:
+            if len(seen) > 100_000:
                 seen.clear()
             seen.add(c)
             k = signatures(s)
@@ -196,7 +208,7 @@ def _stars(region: bool, rows):
         further = np.flatnonzero(c != pivot)
         out = dict.fromkeys(zip(r[further].tolist(), (k[further] & 255).tolist(), pivot[further].tolist(), c[further].tolist(), strict=True))
         out = [x for x in out if x not in seen]
-        if len(seen) > 500_000:
+        if len(seen) > 50_000:
             seen.clear()
         seen.update(out)
         last = (r[-1], k[-1], pivot[-1], c[-1])
@@ -210,7 +222,7 @@ STARS = "region long, ring long, pivot long, member long"
 
 def _measured(rows):
     """Adds ham, the distance of the two sketches in the ring, and near: whether it allows a link."""
-    for batch in rows:
+    for batch in _slices(rows):
         get = {k: batch.column(k).to_pylist() for k in ("ring", "nm", "np", "rm", "rp", "km", "kp")}
         ham, near = [], []
         for j, nm, n_p, rm, rp, km, kp in zip(*get.values(), strict=True):
@@ -257,7 +269,7 @@ def _window(key, table: pa.Table) -> pa.Table:
 def _leaf(key, table: pa.Table) -> pa.Table:
     """Links of one region's sets, as a spanning forest: each set against all others through postings of shingles."""
     cls, comp = (table.column(k).to_numpy() for k in ("cls", "component"))
-    sets = [np.array(x, dtype=np.int64) for x in table.column("s").to_pylist()]
+    sets = _arrays(table.column("s"))
     size = np.array([len(s) for s in sets])
     owner = np.repeat(np.arange(len(sets)), size)
     terms, at = np.unique(np.concatenate(sets), return_inverse=True)
@@ -278,9 +290,9 @@ def _leaf(key, table: pa.Table) -> pa.Table:
 
 
 def _region_keys(seed: int, rows):
-    for batch in rows:
-        for r, c, s in zip(*(batch.column(k).to_pylist() for k in ("region", "cls", "s")), strict=True):
-            k = signatures(np.array(s, dtype=np.int64).view(U), seed).view(np.int64)
+    for batch in _slices(rows):
+        for r, c, s in zip(batch.column("region").to_pylist(), batch.column("cls").to_pylist(), _arrays(batch.column("s")), strict=True):
+            k = signatures(s.view(U), seed).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), r)), pa.array(k), pa.array(np.full(len(k), c))], names=["region", "key", "cls"])
 
 
@@ -305,7 +317,7 @@ def class_links(docs: DataFrame, classes: DataFrame, most_members: int = 20_000,
     own = _texts(docs).join(F.broadcast(ids) if n <= broadcast_rows else ids, "doc_id").select("cls", "text")
 
     def make(rows):
-        for batch in rows:
+        for batch in _slices(rows):
             sets = [shingle_set(t) for t in batch.column(1).to_pylist()]
             mine = [c == _class(s) for c, s in zip(batch.column(0).to_pylist(), sets, strict=True)]  # not of another text with the same id
             sets = [s for s, m in zip(sets, mine, strict=True) if m]
