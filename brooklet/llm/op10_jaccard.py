@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import functools
 import math
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -114,18 +115,27 @@ def _parts(s: np.ndarray, j: int, seed: int) -> tuple[np.ndarray, np.ndarray, in
     return own[first], mixed(np.add.reduceat(mixed(base[order] ^ MUL[1]), first)), parts, spare
 
 
-def signatures(s: np.ndarray, seed: int = 0) -> np.ndarray:
-    """Keys of a set's parts in its rings; the ring is the key's low byte. An empty part gives a key only where more parts
-    are empty than are spare: linked sets agree on more parts than that, so they agree on one that isn't empty in both."""
-    out = []
+def signed(s: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of a set's parts in its rings, the ring in the key's low byte; and for each key how many keys of that ring
+    the set shares with any set that it links with.
+
+    An empty part gives a key only where more parts are empty than are spare. Linked sets agree on more parts than are
+    spare, so they agree on one that isn't empty in both, and on more by as many as are spare beyond the empty ones."""
+    keys, needs = [], []
     for j in rings_of(len(s)):
         own, total, parts, spare = _parts(s, j, seed)
         salt = U((j + 1) << 32) + U(seed + 1) * MUL[2]
-        keys = [mixed(total + mixed(own.astype(U) + salt))]
-        if parts - len(own) > spare:
-            keys.append(mixed(mixed(np.setdiff1d(np.arange(parts), own).astype(U) + salt) ^ MUL[3]))
-        out += [(k & ~U(255)) | U(j) for k in keys]
-    return np.concatenate(out) if out else np.zeros(0, dtype=U)
+        k = [mixed(total + mixed(own.astype(U) + salt))]
+        empty = parts - len(own)
+        if empty > spare:
+            k.append(mixed(mixed(np.setdiff1d(np.arange(parts), own).astype(U) + salt) ^ MUL[3]))
+        keys += [(x & ~U(255)) | U(j) for x in k]
+        needs += [np.full(len(x), max(1, spare + 1 - empty)) for x in k]
+    return (np.concatenate(keys), np.concatenate(needs)) if keys else (np.zeros(0, dtype=U), np.zeros(0, dtype=np.int64))
+
+
+def signatures(s: np.ndarray, seed: int = 0) -> np.ndarray:
+    return signed(s, seed)[0]
 
 
 def sketch(s: np.ndarray) -> tuple[list[int], list[bytes]]:
@@ -168,10 +178,14 @@ def _sets_of(rows):
 
 
 def _keys_of(rows):
-    """(key, cls) of the texts' parts; a copy that this task has seen before adds nothing."""
+    """(key, cls, need) of the texts' parts; a copy that this task has seen before adds nothing."""
     seen: set[int] = set()
-    keys, classes, n = [], [], 0
-    names = ["key", "cls"]
+    out, n = [], 0
+
+    def batch_of():
+        key, cls, need = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(cls), pa.array(need, pa.int32())], names=["key", "cls", "need"])
+
     for batch in _slices(rows):
         for text in batch.column(1).to_pylist():
             s = shingle_set(text)
@@ -181,45 +195,60 @@ def _keys_of(rows):
             if len(seen) > 100_000:
                 seen.clear()
             seen.add(c)
-            k = signatures(s)
-            keys.append(k.view(np.int64))
-            classes.append(np.full(len(k), c, dtype=np.int64))
+            k, need = signed(s)
+            out.append((k.view(np.int64), np.full(len(k), c, dtype=np.int64), need))
             n += len(k)
             if n > 200_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(classes))], names=names)
-                keys, classes, n = [], [], 0
+                yield batch_of()
+                out, n = [], 0
     if n:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(classes))], names=names)
+        yield batch_of()
 
 
 def _stars(region: bool, rows):
-    """From rows sorted by (region, key, cls): (region, ring, pivot, member) for each further set of a key; memory doesn't
-    grow with a key's rows."""
-    last = (None, None, 0, 0)  # region, key, pivot, member
-    seen: set[tuple] = set()
+    """From rows sorted by (region, key, cls): (region, ring, pivot, member, hits, need) for each set of a key that several
+    sets have, its pivot among them; hits counts keys. Memory doesn't grow with a key's rows."""
+    last = (None, None, 0, 0, 0)  # region, key, pivot, the pivot's need, member
     for batch in rows:
-        r = batch.column(0).to_numpy() if region else np.zeros(batch.num_rows, dtype=np.int64)
-        k, c = batch.column(int(region)).to_numpy(), batch.column(int(region) + 1).to_numpy()
-        if not len(k):
+        if not batch.num_rows:
             continue
+        r = batch.column(0).to_numpy() if region else np.zeros(batch.num_rows, dtype=np.int64)
+        k, c, need = (batch.column(int(region) + i).to_numpy() for i in range(3))
         new = np.concatenate([[(r[0], k[0]) != last[:2]], (k[1:] != k[:-1]) | (r[1:] != r[:-1])])
         start = np.maximum.accumulate(np.where(new, np.arange(len(k)), -1))
-        pivot = np.where(start >= 0, c[np.maximum(start, 0)], last[2])
-        further = np.flatnonzero(c != pivot)
-        out = dict.fromkeys(zip(r[further].tolist(), (k[further] & 255).tolist(), pivot[further].tolist(), c[further].tolist(), strict=True))
-        out = [x for x in out if x not in seen]
-        if len(seen) > 50_000:
-            seen.clear()
-        seen.update(out)
-        last = (r[-1], k[-1], pivot[-1], c[-1])
-        if out:
-            cols = list(zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], names=["region", "ring", "pivot", "member"])
+        pivot, its = (np.where(start >= 0, x[np.maximum(start, 0)], y) for x, y in ((c, last[2]), (need, last[3])))
+        again = ~new & (c == np.concatenate([[last[4]], c[:-1]]))  # the same set from another task
+        further = np.flatnonzero((c != pivot) & ~again)
+        hits: Counter = Counter()
+        needs = {}
+        ring_of = k[further] & 255
+        for x, n in zip(zip(r[further].tolist(), ring_of.tolist(), pivot[further].tolist(), c[further].tolist(), strict=True), need[further].tolist(), strict=True):
+            hits[x] += 1
+            needs[x] = n
+        first = further[np.unique(start[further], return_index=True)[1]]  # one row for each key here
+        for x, n in zip(zip(r[first].tolist(), (k[first] & 255).tolist(), pivot[first].tolist(), pivot[first].tolist(), strict=True), its[first].tolist(), strict=True):
+            hits[x] += 1
+            needs[x] = n
+        last = (r[-1], k[-1], pivot[-1], its[-1], c[-1])
+        if hits:
+            cols = [*zip(*hits, strict=True), hits.values(), needs.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in cols], names=["region", "ring", "pivot", "member", "hits", "need"])
 
 
 STARS = "region long, ring long, pivot long, member long"
 
 
+def _likely(keys: DataFrame, region: bool) -> DataFrame:
+    """Stars without members that share too few keys to link with any set, and without regions that keep one set."""
+    found = keys.mapInArrow(functools.partial(_stars, region), STARS + ", hits long, need long")
+    hits = stored(found.groupBy("region", "ring", "pivot", "member").agg(F.sum("hits").alias("hits"), F.max("need").alias("need")), "hits")
+    enough = hits.groupBy("region", "ring", "member").agg(F.sum("hits").alias("hits"), F.max("need").alias("need")).where("hits >= need")
+    kept = stored(hits.drop("hits", "need").join(enough.select("region", "ring", "member"), ["region", "ring", "member"], "left_semi"), "likely")
+    several = kept.groupBy("region", "ring", "pivot").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("region", "ring", "pivot")
+    out = kept.where("member != pivot").join(several, ["region", "ring", "pivot"], "left_semi")
+    return stored(out.select("region", "ring", "pivot", "member"), "stars")
+
+
 def _measured(rows):
     """Adds ham, the distance of the two sketches in the ring, and near: whether it allows a link."""
     for batch in _slices(rows):
@@ -292,8 +321,8 @@ def _leaf(key, table: pa.Table) -> pa.Table:
 def _region_keys(seed: int, rows):
     for batch in _slices(rows):
         for r, c, s in zip(batch.column("region").to_pylist(), batch.column("cls").to_pylist(), _arrays(batch.column("s")), strict=True):
-            k = signatures(s.view(U), seed).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), r)), pa.array(k), pa.array(np.full(len(k), c))], names=["region", "key", "cls"])
+            k, need = signed(s.view(U), seed)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), r)), pa.array(k.view(np.int64)), pa.array(np.full(len(k), c)), pa.array(need, pa.int32())], names=["region", "key", "cls", "need"])
 
 
 def _with_component(df: DataFrame, comp: DataFrame, column: str, name: str) -> DataFrame:
@@ -307,8 +336,8 @@ def class_links(docs: DataFrame, classes: DataFrame, most_members: int = 20_000,
     most_members: sets of a region that one task joins; larger regions go to the next round.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = _texts(docs).mapInArrow(_keys_of, "key long, cls long").repartition(parts, "key").sortWithinPartitions("key", "cls")
-    stars = stored(keys.mapInArrow(functools.partial(_stars, False), STARS).distinct(), "stars")
+    keys = _texts(docs).mapInArrow(_keys_of, "key long, cls long, need int").repartition(parts, "key").sortWithinPartitions("key", "cls")
+    stars = _likely(keys, False)
     near = stars.select(F.explode(F.array("pivot", "member")).alias("cls")).distinct()
     ids = stored(classes.join(near, "cls").select("doc_id", "cls"), "near")
     n = ids.count()
@@ -370,9 +399,9 @@ def class_links(docs: DataFrame, classes: DataFrame, most_members: int = 20_000,
         if not large.limit(1).count():
             return comp
         again = both.join(large, "region").join(sets.select("cls", "s"), "cls").select("region", "cls", "s")
-        keys = again.mapInArrow(functools.partial(_region_keys, seed), "region long, key long, cls long")
+        keys = again.mapInArrow(functools.partial(_region_keys, seed), "region long, key long, cls long, need int")
         keys = keys.repartition(parts, "region", "key").sortWithinPartitions("region", "key", "cls")
-        stars = stored(keys.mapInArrow(functools.partial(_stars, True), STARS).distinct(), "stars")
+        stars = _likely(keys, True)
         seed += 1
 
 
