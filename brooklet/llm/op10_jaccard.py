@@ -104,15 +104,19 @@ def rings_of(n: int, num: int = 4, den: int = 5) -> tuple[int, ...]:
         j += 1
 
 
-def _parts(s: np.ndarray, j: int, seed: int) -> tuple[np.ndarray, np.ndarray, int, int]:
-    """(numbers of the parts that aren't empty, hashes of their shingles, all parts, spare) of a set in ring j."""
+def _dealt(s: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """A set's shingles as sorted numbers of this seed, and what each adds to its part's hash."""
+    base = np.sort(mixed(s + U((seed * int(MUL[0]) + 1) % 2**64))) if seed else s
+    return base, mixed(base ^ MUL[1])
+
+
+def _parts(base: np.ndarray, weight: np.ndarray, j: int) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """(numbers of the parts that aren't empty, hashes of their shingles, all parts, spare) of a set in ring j; a part is a
+    range of numbers, so the sorted set needs no further sort."""
     _, parts, spare = ring(j)
-    base = mixed(s + U(seed) * MUL[0] + U(1))
-    part = (base % U(parts)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    own = part[order]
-    first = np.concatenate([[0], np.flatnonzero(np.diff(own)) + 1])
-    return own[first], mixed(np.add.reduceat(mixed(base[order] ^ MUL[1]), first)), parts, spare
+    own = ((base >> U(32)) * U(parts)) >> U(32)
+    first = np.concatenate([[0], np.flatnonzero(own[1:] != own[:-1]) + 1])
+    return own[first].astype(np.int64), mixed(np.add.reduceat(weight, first)), parts, spare
 
 
 def signed(s: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -122,8 +126,9 @@ def signed(s: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     An empty part gives a key only where more parts are empty than are spare. Linked sets agree on more parts than are
     spare, so they agree on one that isn't empty in both, and on more by as many as are spare beyond the empty ones."""
     keys, needs = [], []
-    for j in rings_of(len(s)):
-        own, total, parts, spare = _parts(s, j, seed)
+    base, weight = _dealt(s, seed)
+    for j in rings_of(len(s)) if len(s) else ():
+        own, total, parts, spare = _parts(base, weight, j)
         salt = U((j + 1) << 32) + U(seed + 1) * MUL[2]
         k = [mixed(total + mixed(own.astype(U) + salt))]
         empty = parts - len(own)
@@ -142,8 +147,9 @@ def sketch(s: np.ndarray) -> tuple[list[int], list[bytes]]:
     """Rings of a set, and for each a byte per part (0 for an empty one)."""
     rings = list(rings_of(len(s)))
     out = []
+    base, weight = _dealt(s, 0)
     for j in rings:
-        own, total, parts, _ = _parts(s, j, 0)
+        own, total, parts, _ = _parts(base, weight, j)
         row = np.zeros(parts, dtype=np.uint8)
         row[own] = (total >> U(56)).astype(np.uint8)
         out.append(row.tobytes())
