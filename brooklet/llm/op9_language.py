@@ -108,9 +108,10 @@ def train(docs: DataFrame, per_language: int = 400, languages: int = 200) -> byt
 class Labeller:
     """Labels whole texts; limit bounds the words kept."""
 
-    def __init__(self, model: bytes, penalty: float = 16.0, limit: int = 300_000):
+    def __init__(self, model: bytes, penalty: float = 8.0, limit: int = 300_000):
         self.names, self.logp, self.scripts = pickle.loads(model)
-        self.penalty, self.limit, self.floor = penalty, limit, -6.0
+        self.penalty, self.limit, self.floor = penalty, limit, -12.0
+        self.excluded = -1000 - 2 * penalty  # below what two switches cost: a language that lacks a word's script never gets it
         self.reset()
 
     def reset(self) -> None:
@@ -129,9 +130,9 @@ class Labeller:
         score = np.add.reduceat(self.logp[g].sum(1), at, axis=0)
         allowed = self.scripts[[script_of(c) for _, c in lettered]]
         allowed[~allowed.any(1)] = True  # a script that no training text has narrows nothing
-        score = np.where(allowed, score, score.min(1, keepdims=True) - 20)
-        score -= score.max(1, keepdims=True)
+        score -= np.where(allowed, score, -np.inf).max(1, keepdims=True)
         np.maximum(score, self.floor, out=score)  # one odd word alone doesn't decide
+        score[~allowed] = self.excluded
         while self.n + len(lettered) > len(self.table):
             self.table, self.weight = np.vstack([self.table, np.zeros_like(self.table)]), np.concatenate([self.weight, self.weight * 0])
         self.table[self.n : self.n + len(lettered)] = score
@@ -141,14 +142,41 @@ class Labeller:
         self.n += len(lettered)
 
     def path(self, s: np.ndarray) -> np.ndarray:
-        """Viterbi labels of the words with scores s. One label is best where no run of words gains a penalty by another."""
-        best = int(s.sum(0).argmax())
-        gain = np.cumsum(s - s[:, best : best + 1], axis=0, dtype=np.float64)
-        low = np.minimum(np.minimum.accumulate(gain, axis=0), 0)
-        if float((gain - np.vstack([np.zeros((1, s.shape[1])), low[:-1]])).max()) <= self.penalty:
-            return np.full(len(s), best)
-        rows = s.astype(np.float64).tolist()
-        total, back, penalty = rows[0], [], self.penalty
+        """Viterbi labels of the words with scores s.
+
+        Against the label that is best for all, each beginning and each end of a stretch of other labels gains, or it
+        would be cheaper without, and the whole gains its two switches; at the text's edge one switch less. The best
+        other label of each word bounds these gains, and only runs that reach them are searched.
+        """
+        best, n = int(s.sum(0).argmax()), len(s)
+        out = np.full(n, best)
+        if s.shape[1] < 2:
+            return out
+        other = s.astype(np.float64)
+        own = other[:, best].copy()
+        other[:, best] = -np.inf
+        more = other.max(1) - own
+        more[0] += self.penalty
+        more[-1] += self.penalty
+        gain = np.concatenate([[0.0], np.cumsum(more)])
+        ahead = gain[1:] - np.minimum.accumulate(gain)[1:]  # the most that a run of words up to here gains
+        if float(ahead.max()) <= 2 * self.penalty:
+            return out
+        back = np.maximum.accumulate(gain[::-1])[::-1][:-1] - gain[:-1]  # and one from here on
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], (ahead > 0) & (back > 0), [False]])))
+        for i, j in edge.reshape(-1, 2).tolist():
+            if float(ahead[i:j].max()) > 2 * self.penalty:
+                out[i:j] = self._search(s[i:j], best if i else None, best if j < n else None)
+        return out
+
+    def _search(self, s: np.ndarray, before: int | None, after: int | None) -> list[int]:
+        """Best labels of the words with scores s, between words labelled before and after (None: the text's edge)."""
+        rows, back, penalty = s.astype(np.float64).tolist(), [], self.penalty
+        if before is not None:
+            rows[0] = [x - penalty * (k != before) for k, x in enumerate(rows[0])]
+        if after is not None:
+            rows[-1] = [x - penalty * (k != after) for k, x in enumerate(rows[-1])]
+        total = rows[0]
         for r in rows[1:]:
             cut = max(total) - penalty
             if min(total) >= cut:
@@ -163,7 +191,7 @@ class Labeller:
         for move in reversed(back):
             at = at if move is None else move[at]
             out.append(at)
-        return np.array(out[::-1], dtype=np.int64)
+        return out[::-1]
 
     def label(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Labels of the words with letters, and their numbers of letters; nothing where nothing was learned."""
@@ -203,7 +231,7 @@ def _labeller(key: int, model: bytes, penalty: float) -> Labeller:
     return Labeller(model, penalty)
 
 
-def predict(docs: DataFrame, model: bytes, penalty: float = 16.0) -> DataFrame:
+def predict(docs: DataFrame, model: bytes, penalty: float = 8.0) -> DataFrame:
     """Rows (doc_id, held_out, lang_pred, score): the language of most letters, and its share of them.
 
     `und` and 0 for null text or text without a letter (and for all, where nothing was learned). No shuffle; rows with
@@ -222,7 +250,7 @@ def predict(docs: DataFrame, model: bytes, penalty: float = 16.0) -> DataFrame:
     return rows.mapInArrow(label, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, model: bytes, least: float = 0.5, penalty: float = 16.0) -> DataFrame:
+def keep_known(docs: DataFrame, model: bytes, least: float = 0.5, penalty: float = 8.0) -> DataFrame:
     """Rows of docs, with all their columns, whose text has a language: not `und`, and that language holds `least` of the letters."""
     sent, key = docs.sparkSession.sparkContext.broadcast(model), zlib.crc32(model)
     at = docs.columns.index("text")

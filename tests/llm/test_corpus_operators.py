@@ -279,6 +279,33 @@ def test_op9(spark, docs, odd):
     assert {r.lang_pred for r in op9_language.predict(odd, nothing).collect()} == {"und"}
 
 
+def test_op9_short_spans(spark):
+    big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    greek = ["καλημέρα σας και καλή όρεξη σε όλους τους φίλους μας εδώ"] * 40
+    odd = spark.createDataFrame([(10**6 + i, t, "el") for i, t in enumerate(greek)], "doc_id long, text string, lang string")
+    label = op9_language.Labeller(op9_language.train(big.unionByName(odd)))
+    texts = {r.lang: r.text.split() for r in big.where("length(text) > 2000").orderBy("doc_id").collect()}
+    a, b = sorted(texts)[:2]
+    host = texts[a][:60]
+    for k in (1, 2, 5):  # another script wins, however short
+        assert label.spans(" ".join(host[:30] + greek[0].split()[:k] + host[30:])).count(("el", k)) == 1
+    hit = 0
+    for at in range(0, 200, 10):  # three words of the same script, inside and at an edge
+        for text in (host[:30] + texts[b][at : at + 3] + host[30:], host + texts[b][at : at + 3]):
+            hit += any(x == b and n >= 2 for x, n in label.spans(" ".join(text)))
+    assert hit >= 30
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 9, 40, 200):  # the runs that are searched against Viterbi over all words
+        for _ in range(60):
+            k = int(rng.integers(2, 5))
+            s = -rng.random((n, k)) * 12 * (rng.random((n, k)) < 0.6) - 6 * (np.arange(k) != (np.arange(n) // int(rng.integers(2, 12)) % k)[:, None]) * rng.random((n, 1))
+            total = s[0]
+            for r in s[1:]:
+                total = np.maximum(total, total.max() - label.penalty) + r
+            got = label.path(s)
+            assert abs(s[np.arange(n), got].sum() - label.penalty * (np.diff(got) != 0).sum() - total.max()) < 1e-6
+
+
 def _brute(rows):
     sets = [set(op10_jaccard.shingle_set(t).tolist()) for _, t in rows]
     root = list(range(len(rows)))
