@@ -134,13 +134,17 @@ class Scorer:
         return float(1 / (1 + np.exp(-float(np.dot(self.weights, self.features(text))))))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 60) -> np.ndarray:
-    """Ridge logistic regression by Newton steps (the intercept isn't shrunk)."""
+def _logistic(x: np.ndarray, y: np.ndarray, k: np.ndarray, rows: float, ridge: float = 0.1, steps: int = 60) -> np.ndarray:
+    """Ridge logistic regression of cells (x, y) that count k times each, by Newton steps (the intercept isn't shrunk).
+
+    The counts are scaled to sum to `rows`, so the ridge weighs the same whatever number of rows they stand for.
+    """
+    k = k * (rows / k.sum())
     w, pen = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
     pen[0] = 1e-6
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(pen), x.T @ (y - p) - pen * w)
+        step = np.linalg.solve((x * (k * p * (1 - p))[:, None]).T @ x + np.diag(pen), x.T @ (k * (y - p)) - pen * w)
         w += np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break
@@ -235,12 +239,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 8000) -> bytes:
     there = {r.toxic: r["count"] for r in share}
     weight = {v: max(1.0, there.get(v, 1) / max(1, min(sample // 2, there.get(v, 1)))) for v in (0, 1)}
     k = np.array([weight[int(v)] for v in y]) * n
-    return pickle.dumps((terms, _weighted(x, y, k)))
-
-
-def _weighted(x: np.ndarray, y: np.ndarray, k: np.ndarray) -> np.ndarray:
-    root = np.repeat(np.arange(len(y)), np.maximum(1, np.minimum(np.round(k), 100_000)).astype(int))
-    return _logistic(x[root], y[root])
+    return pickle.dumps((terms, _logistic(x, y, k, n.sum())))
 
 
 @functools.lru_cache(maxsize=2)

@@ -182,6 +182,19 @@ def test_op5(spark, docs):
     assert op5_toxicity.score(odd, op5_toxicity.train(docs.limit(0), labels.limit(0))).count() == 3
 
 
+def test_op5_weights(spark):
+    # 400,000 clean documents and 2,000 toxic ones without a hit: the score is their rate, whatever the number of rows.
+    quiet = spark.range(402_000).select(F.col("id").alias("doc_id"), F.lit("quiet words").alias("text"))
+    loud = spark.createDataFrame([(500_000 + i, f"one{i} scumbag two{i}") for i in range(60)], "doc_id long, text string")
+    docs = quiet.unionByName(loud)
+    model = op5_toxicity.train(docs, docs.select("doc_id", (F.col("doc_id") >= 400_000).cast("int").alias("toxic")))
+    test = spark.createDataFrame([(1, "quiet words"), (2, "a scumbag here")], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in op5_toxicity.score(test, model).collect()}
+    assert abs(got[1] - 2000 / 402_000) < 0.0005 and got[2] > 0.3
+    x, y, n = np.array([[1.0, 0, 0], [1.0, 0, 0], [1.0, 1, 0.7], [1.0, 1, 0.7]]), np.array([0.0, 1, 0, 1]), np.array([3500.0, 23, 2, 475])
+    assert np.allclose(op5_toxicity._logistic(x, y, n, n.sum()), op5_toxicity._logistic(x, y, n * 10**6, n.sum()))
+
+
 def test_op6(spark, docs):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     items = bench.collect()
