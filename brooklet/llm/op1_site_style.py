@@ -38,7 +38,7 @@ TOKEN = re.compile(
     r"|<[!?/][^>]*>",
     re.I | re.S,
 )
-ATTR = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+ATTR = re.compile(r"(=?[^\s/>=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 WORD = re.compile(r"[a-z]+")
 HOST = re.compile(r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", re.I)
 
@@ -61,7 +61,7 @@ def _style(tag: str, attrs: str, article: bool) -> tuple[str, bool]:
             noise = True
         elif name == "aria-hidden":
             noise = noise or value == "true"
-        else:
+        elif name == "style":
             noise = noise or "display:none" in value.replace(" ", "")
     return ".".join([tag, *sorted(re.sub(r"\d+", "", x) for x in names)]), noise
 

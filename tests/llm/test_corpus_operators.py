@@ -93,6 +93,17 @@ def test_op2(spark, odd, docs, tmp_path):
             pass
 
 
+@pytest.mark.parametrize("attrs", ['href="/hidden-gems"', 'title="the hidden cost"', 'href="/view?id=comment-12"', 'data-id="menu"', "data-role='search'", "href=/x?role=search", 'alt="class=nav"', 'data-x = "a" title=\'style="display:none"\'', "aria-hidden=false", "hiddenx", 'title="a"data-hidden'])
+def test_op1_other_attributes(attrs):
+    for tag in ("a", "p", "section"):
+        assert op1_site_style.main_text(f"<article><p>one</p><{tag} {attrs}>two</{tag}></article>") == "one two", tag
+
+
+@pytest.mark.parametrize("attrs", ["hidden", "HIDDEN=''", 'class = "x nav"', "id=menu", 'title="a"role="search"', "style='color:red; display: none'", 'href="/a" aria-hidden=true', "data-id=x/ hidden"])
+def test_op1_own_attributes(attrs):
+    assert op1_site_style.main_text(f"<article><p>one</p><section {attrs}>two</section></article>") == "one"
+
+
 @pytest.mark.parametrize("block", [40, 4096])
 def test_op3(spark, block):
     rng = np.random.default_rng(5)
