@@ -254,8 +254,7 @@ def extract(pages: DataFrame, broadcast_rows: int = 200_000) -> DataFrame:
                 yield made(batch, [sent.value.get(host_of(u), frozenset()) for u in batch.column("url").to_pylist()])
 
         return rows.mapInArrow(run, schema)
-    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), HOST.pattern, 1))
-    joined = rows.withColumn("host", host).join(low.groupBy("host").agg(F.collect_list("element").alias("low")), "host", "left")
+    joined = rows.withColumn("host", F.udf(host_of, "string")("url")).join(low.groupBy("host").agg(F.collect_list("element").alias("low")), "host", "left")
 
     def run_joined(batches):
         for batch in batches:

@@ -93,6 +93,16 @@ def test_op2(spark, odd, docs, tmp_path):
             pass
 
 
+def test_op1_hosts_joined(spark):
+    # The join by host finds the same hosts as the broadcast: schemes and hosts in any case.
+    schemes = ["http://c.d", "HTTP://c.d", "Https://C.D", "hTTp://u@c.D:80"]
+    rows = [(i, f"{schemes[i % 4]}/x", f"<div class=w><p>Always the same words</p></div><div><p>story {i}</p></div>") for i in range(12)]
+    df = spark.createDataFrame([*rows, (12, None, "<p>alone</p>")], "page_id long, url string, html string")
+    for most in (200_000, -1):
+        got = {r.page_id: r.text for r in op1_site_style.extract(df, broadcast_rows=most).collect()}
+        assert got == {i: f"story {i}" for i in range(12)} | {12: "alone"}, most
+
+
 @pytest.mark.parametrize("attrs", ['href="/hidden-gems"', 'title="the hidden cost"', 'href="/view?id=comment-12"', 'data-id="menu"', "data-role='search'", "href=/x?role=search", 'alt="class=nav"', 'data-x = "a" title=\'style="display:none"\'', "aria-hidden=false", "hiddenx", 'title="a"data-hidden'])
 def test_op1_other_attributes(attrs):
     for tag in ("a", "p", "section"):
