@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 EDGES = "\"'`“”„«»‘’()[]{}<>.,;:!?…%&*#$-_/\\|~^+="
 BLOCK = 8
 K1, B = 1.2, 0.75
@@ -48,10 +50,10 @@ class Index:
     terms maps words to numbers from 1 on and is shared by the indexes of a benchmark.
     """
 
-    def __init__(self, items: list[tuple[int, list[str], list[str]]], terms: dict[str, int], idf: dict[str, float], mean: float):
+    def __init__(self, items: list[tuple[int, list[str], list[str]]], terms: dict[str, int], idf: dict[str, float], mean: float, longest: int):
         self.items = items
         self.size = max(BLOCK, -(-len(items) // 64))
-        self.longest = max(len(q) + len(a) for _, q, a in items)
+        self.longest = longest
         self.blocks: list[dict[int, tuple[list[int], list[float], float]]] = []
         self.maxima = np.zeros((len(terms) + 1, -(-len(items) // self.size)), dtype=np.float32)
         for first in range(0, len(items), self.size):
@@ -140,21 +142,28 @@ class Numbers(dict):
 
 
 class Benchmark:
-    """All items, one index for each doubling of their length, so that passages fit and short items don't loosen the bounds of long ones."""
+    """All items, one index for each doubling of their length, so that passages fit and short items don't loosen the bounds of long ones.
+
+    Where items are a block of a benchmark, whole holds the statistics of all of it: document frequencies of (at least)
+    the block's words, number of items, mean length, and the longest item of each doubling. Scores and passages are then
+    those of one index of all items.
+    """
 
-    def __init__(self, items: list[tuple[int, list[str], list[str]]], limit: int = 300_000):
+    def __init__(self, items: list[tuple[int, list[str], list[str]]], limit: int = 300_000, whole: tuple[dict[str, int], int, float, dict[int, int]] | None = None):
         items = [x for x in items if x[1] or x[2]]
         self.terms: dict[str, int] = {}
         self.words = Numbers(self.terms, limit)
-        df, n = Counter(w for _, q, a in items for w in {*q, *a}), len(items)
-        for w in df:
-            self.terms[w] = len(self.terms) + 1
-        idf = {w: float(np.log(1 + (n - f + 0.5) / (f + 0.5))) for w, f in df.items()}
-        mean = sum(len(q) + len(a) for _, q, a in items) / max(1, n)
         own: dict[int, list] = {}
         for x in items:
             own.setdefault((len(x[1]) + len(x[2])).bit_length(), []).append(x)
-        self.indexes = [Index(own[k], self.terms, idf, mean) for k in sorted(own)]
+        if whole is None:
+            sizes = [len(q) + len(a) for _, q, a in items]
+            whole = Counter(w for _, q, a in items for w in {*q, *a}), len(items), sum(sizes) / max(1, len(items)), {k: max(len(q) + len(a) for _, q, a in v) for k, v in own.items()}
+        df, n, mean, longest = whole
+        for w in {w: 0 for _, q, a in items for w in (*q, *a)}:
+            self.terms[w] = len(self.terms) + 1
+        idf = {w: float(np.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5))) for w in self.terms}
+        self.indexes = [Index(own[k], self.terms, idf, mean, longest[k]) for k in sorted(own)]
 
     def look(self, text: str) -> np.ndarray:
         """Term numbers of the words of text, 0 where no item has them; words of marks alone are left out."""
@@ -185,7 +194,8 @@ class Benchmark:
 
 @functools.lru_cache(maxsize=2)
 def _benchmark(key: int, items: bytes) -> Benchmark:
-    return Benchmark(pickle.loads(items))
+    made, whole = pickle.loads(items)
+    return Benchmark(made, whole=whole)
 
 
 RESULT = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
@@ -195,7 +205,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.7, over
     """Rows (doc_id, item_id, score, question_overlap, answer_overlap) for every document that holds a test item.
 
     Items are taken in blocks of block_rows (by hash of the id), so what is broadcast is bounded; each block's index is
-    queried by all passages of all texts. benchmark has item_id and text, or question and answer columns instead of
+    queried by all passages of all texts, and scores by the statistics of all items. benchmark has item_id and text, or question and answer columns instead of
     text. Null or empty texts match nothing; null ids are carried; repeated items and documents give a row each.
     """
     spark = docs.sparkSession
@@ -206,16 +216,45 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.7, over
     items = items.toDF("item_id", "q", "a")
     blocks = max(1, -(-items.count() // block_rows))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null and text != ''")
-    out = None
+    out, block_of = None, F.pmod(F.xxhash64("item_id"), F.lit(blocks))
+    if blocks > 1:
+        bags = stored(items.withColumn("block", block_of).mapInArrow(_bags, "block long, word string, size long"), "items")
+        df = stored(bags.where("word is not null").groupBy("word").agg(F.count(F.lit(1)).alias("df")), "words")
+        sizes = bags.where("word is null").groupBy("size").count().collect()
+        n, longest = sum(r["count"] for r in sizes), {}
+        for r in sizes:
+            longest[r["size"].bit_length()] = max(r["size"], longest.get(r["size"].bit_length(), 0))
+        mean = sum(r["size"] * r["count"] for r in sizes) / max(1, n)
     for block in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block) if blocks > 1 else items
-        made = [(r.item_id, *(parts_of(r.q) if r.a is None else (words_of(r.q), words_of(r.a)))) for r in own.orderBy("item_id", "q").collect()]
-        sent = spark.sparkContext.broadcast(data := pickle.dumps(made))
+        own, whole = items, None
+        if blocks > 1:
+            own = items.where(block_of == block)
+            words = bags.where((F.col("block") == block) & F.col("word").isNotNull()).select("word").distinct().join(df, "word").collect()
+            whole = {r.word: r.df for r in words}, n, mean, longest
+        made = [(r.item_id, *_parts(r.q, r.a)) for r in own.orderBy("item_id", "q").collect()]
+        sent = spark.sparkContext.broadcast(data := pickle.dumps((made, whole)))
         found = rows.mapInArrow(functools.partial(_run, sent, zlib.crc32(data), least, overlap), RESULT)
         out = found if out is None else out.unionByName(found)
     return out
 
 
+def _parts(q: str, a: str | None) -> tuple[list[str], list[str]]:
+    return parts_of(q) if a is None else (words_of(q), words_of(a))
+
+
+def _bags(batches):
+    """A row of each word of an item, and one without a word that holds the item's length; items without words have none."""
+    for batch in batches:
+        rows = []
+        for q, a, block in zip(batch.column("q").to_pylist(), batch.column("a").to_pylist(), batch.column("block").to_pylist(), strict=True):
+            q, a = _parts(q, a)
+            if size := len(q) + len(a):
+                rows.append((block, None, size))
+                rows += [(block, w, size) for w in {*q, *a}]
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64())], names=["block", "word", "size"])
+
+
 def _run(sent, key, least, overlap, batches):
     index = _benchmark(key, sent.value)
     for batch in batches:

@@ -245,6 +245,23 @@ def test_op6(spark, docs):
     assert op6_decontamination.contaminated(docs.limit(0), bench).count() == 0
 
 
+def test_op6_blocks(spark):
+    # Scores are of the whole benchmark, however many blocks it is held in.
+    random.seed(6)
+    words = [f"w{k}" for k in range(60)] + ["the", "of", "is"] * 20
+    items = [(i, " ".join(random.choice(words) for _ in range(random.randint(8, 40))) + ". " + " ".join(random.choice(words) for _ in range(5))) for i in range(60)] + [(60, ""), (None, "a b c d e f g. h i j k")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    cut = [(i, " ".join(t.split()[random.randint(0, 3) :]) + " " + " ".join(random.choice(words) for _ in range(50))) for i, t in items]
+    docs = spark.createDataFrame(cut, "doc_id long, text string")
+
+    def found(rows):
+        got = op6_decontamination.contaminated(docs, bench, least=0.6, block_rows=rows).collect()
+        return sorted((r.doc_id is None, r.doc_id, r.item_id, round(r.score, 6), r.question_overlap, r.answer_overlap) for r in got)
+
+    one = found(1000)
+    assert len(one) >= 40 and found(20) == one and found(5) == one
+
+
 def test_op7_and_chunks(odd, docs):
     for path in (BYTE, WORD):
         e = encoder(path)
