@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -32,13 +33,75 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/llm-{tag}-{uuid.uuid4().hex}"
+    for made in _open:
+        made.spark = spark
+        made.paths.append(path)
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._llm_path = path
+    return out
+
+
+class Made:
+    """Shared tables written since tables() began."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+        self.spark: SparkSession | None = None
+
+    def release(self, *keep: DataFrame) -> None:
+        """Remove all tables but those of keep: they must not be read by anything that is still to run."""
+        kept = {getattr(df, "_llm_path", None) for df in keep}
+        for path in [p for p in self.paths if p not in kept]:
+            removed(self.spark, path)
+            for made in _open:
+                with contextlib.suppress(ValueError):
+                    made.paths.remove(path)
+
+
+_open: list[Made] = []
+
+
+@contextlib.contextmanager
+def tables():
+    """Notes the shared tables that are written inside, so that they can be removed once what replaces them is committed."""
+    made = Made()
+    _open.append(made)
+    try:
+        yield made
+    finally:
+        _open.remove(made)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder of the shared storage."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Remove a stored table that nothing reads any more."""
+    removed(df.sparkSession, df._llm_path)
+    for made in _open:
+        with contextlib.suppress(ValueError):
+            made.paths.remove(df._llm_path)
+
+
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, most: int):
+    """Plans made inside send at most so many rows at once to Python: for rows that are large themselves."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -46,19 +109,25 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def _least(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("u").agg(F.min("v").alias("m"))
+#: Edges up to which the least neighbours of all nodes (two a edge at most, 16 bytes and a hash entry each) are broadcast.
+BROADCAST_EDGES = 250_000
+
+
+def _least(edges: DataFrame, few: bool) -> DataFrame:
+    out = edges.groupBy("u").agg(F.min("v").alias("m"))
+    return F.broadcast(out) if few else out
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, few: bool) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = _least(both).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = _least(both, few)
+    moved = both.where("v > u").join(least, "u").select("v", F.least("u", "m").alias("m"))
+    return moved.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, few: bool) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = _least(down)
+    least = _least(down, few)
     moved = down.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v")))
 
@@ -67,17 +136,21 @@ def components(edges: DataFrame, tag: str = "cc", most: int = 60) -> DataFrame:
     """Connected components of edges (u, v): rows (node, component), component the least node reachable.
 
     Alternating large-star and small-star steps; only minima are gathered per node, never neighbour lists, so a node
-    with a third of all edges needs no large group. Each step's table goes to the shared folder. Nodes without an
-    edge don't appear. Nulls and loops are ignored.
+    with a third of all edges needs no large group, and up to BROADCAST_EDGES edges its rows don't meet in a task
+    either (beyond, the join by node can be split as its other side has one row a node). Each step's table goes to the
+    shared folder and replaces the one before. Nodes without an edge don't appear. Nulls and loops are ignored.
     """
     now = stored(edges.select("u", "v").where("u is not null and v is not null and u != v").distinct(), tag)
-    mark = None
+    n, mark = now.count(), None
     for _ in range(most):
-        now = stored(_small_star(_large_star(now)).distinct(), tag)
-        row = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(row) == mark:
+        few = n <= BROADCAST_EDGES
+        new = stored(_small_star(_large_star(now, few), few).distinct(), tag)
+        discard(now)
+        now = new
+        row = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if row == mark:
             break
-        mark = tuple(row)
+        mark, n = row, row[0]
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(

@@ -1,105 +1,171 @@
 """Exact threshold pairs of embeddings by dual traversal of cover trees.
 
-Unit vectors at cosine c lie at distance sqrt(2 - 2c), so a cosine threshold is a radius. The root level is a net of
-a bounded number of centres; its cells are cut into blocks of bounded size, and each block holds a cover tree: nested
-levels whose radii halve down to a quarter of the threshold radius. Pairs of blocks, then pairs of nodes, are pruned
-where the centres' distance exceeds the radius plus both covering radii, and taken whole where it is less than the
-radius minus both; only what is left is compared vector by vector. Links are counted, not listed, so a dense
-cluster makes no quadratic output.
+Unit vectors at cosine c lie at distance sqrt(2 - 2c), so a cosine threshold is a radius. The upper levels of the tree
+are made by Spark: cells around a bounded number of centres each, cut again while they are large, then blocks of bounded
+size. Each block holds the lower levels: nested nets whose radii halve, down to the single vectors. The traversal starts
+with the pair of the root and itself. A pair of nodes is pruned where the centres' distance exceeds the threshold radius
+plus both covering radii, taken whole where distance and covering radii together stay below it, and else replaced by the
+pairs of its children. Above the blocks the frontier is a table that is joined with the children of its nodes level by
+level; within a pair of blocks it is a list of arrays. Links are counted, not listed, so a dense cluster makes no
+quadratic output.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import components, stored
+from .common import arrow_rows, components, discard, stored, tables
 
-SLACK = 1e-9
+#: Children of a cell, and bytes of centres that may be broadcast to find a vector's cell; beyond them cells are cut by hash.
+FAN, CENTRE_BYTES = 64, 32 << 20
+PART_BITS = 20
 
 
-def net(x: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
-    """Centres (indexes) of a greedy net and each point's centre (position among them): within radius, centres apart by more."""
-    owner = np.full(len(x), -1)
-    best = np.full(len(x), -2.0)
-    centres, least = [], 1 - radius * radius / 2
-    for i in range(len(x)):
-        if owner[i] < 0:
-            c = x[i:] @ x[i]
-            near = np.flatnonzero((c >= least) & (c > best[i:]))
-            owner[i + near], best[i + near] = len(centres), c[near]
-            if owner[i] != len(centres):
-                owner[i] = len(centres)
-            centres.append(i)
-    return np.array(centres, dtype=np.int64), owner
-
+def distance(cosine: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(0, 2 - 2 * cosine))
 
-class Tree:
-    """Levels of nets over unit vectors, radii halving from 1 to at most `finest`; nested: a node's points share all its ancestors."""
 
-    def __init__(self, x: np.ndarray, finest: float):
-        self.x = x
-        radius, groups, self.levels = 1.0, [np.arange(len(x))], []
-        while True:
-            centres, label, parts = [], np.empty(len(x), dtype=np.int64), []
-            for g in groups:
-                if len(g) == 1:
-                    c, own = np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64)
-                else:
-                    c, own = net(x[g], radius)
-                label[g] = own + len(centres)
-                order = np.argsort(own, kind="stable")
-                parts += [g[p] for p in np.split(order, np.flatnonzero(np.diff(own[order])) + 1)]
-                centres += g[c].tolist()
-            centres = np.array(centres, dtype=np.int64)
-            cover = np.zeros(len(centres))
-            np.maximum.at(cover, label, distance(np.einsum("ij,ij->i", x, x[centres[label]])))
-            cover[np.bincount(label, minlength=len(centres)) == 1] = 0
-            self.levels.append((centres, label, cover))
-            if radius <= finest:
-                return
-            radius, groups = radius / 2, parts
+def slack(width: int) -> float:
+    """More than the error of a distance computed from a cosine, three times over (largest near cosine 1)."""
+    return 4 * math.sqrt(2 * 2.2e-16 * max(1, width)) + 1e-9
+
+
+def net(x: np.ndarray, radius: float, step: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """Centres (indexes) of a greedy net, apart by more than radius, and each point's nearest centre (position among them)."""
+    least, centres = 1 - radius * radius / 2, []
+    for at in range(0, len(x), step):
+        own = x[at : at + step]
+        left = np.arange(len(own))
+        if centres:
+            left = left[(own @ x[centres].T).max(1) < least]
+        near = own[left] @ own[left].T >= least
+        taken = np.zeros(len(left), dtype=bool)
+        for i in range(len(left)):
+            if not taken[i]:
+                centres.append(at + int(left[i]))
+                taken |= near[i]
+    centres = np.array(centres, dtype=np.int64)
+    owner = np.empty(len(x), dtype=np.int64)
+    for at in range(0, len(x), step):
+        owner[at : at + step] = (x[at : at + step] @ x[centres].T).argmax(1)
+    owner[centres] = np.arange(len(centres))
+    return centres, owner
 
 
-def distance(cosine: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum(0, 2 - 2 * cosine))
+class Tree:
+    """Nested levels of nets over unit vectors. order: the points so that each node holds a run of them; a level is
+    (first point of each node and the end, centre of each, covering radius of each). The last level is the points.
 
+    Radii halve from the greatest at which two nodes on the sphere can be apart at all to a quarter of the threshold radius."""
 
-def dual(a: Tree, b: Tree, least: float) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Linked pairs as (points of a, points of b) index arrays of equal length, in chunks; each pair once."""
-    radius, (na, la, ra), (nb, lb, rb) = math.sqrt(2 - 2 * least), a.levels[-1], b.levels[-1]
-    members_a, members_b = _members(la, len(na)), _members(lb, len(nb))
-    keep = None
-    for (ca, ka, qa), (cb, kb, qb) in zip(a.levels[:-1], b.levels[:-1], strict=True):
-        if len(ca) * len(cb) * 8 < len(na) * len(nb):  # a level pays off where it is much smaller than the last one
-            live = distance(a.x[ca] @ b.x[cb].T) <= radius + qa[:, None] + qb[None, :] + SLACK
-            keep = (ka[na], kb[nb], live)
-    rows = np.arange(len(na))
-    step = max(1, 4_000_000 // max(1, len(nb)))
-    for at in range(0, len(na), step):
-        own = rows[at : at + step]
-        if keep is not None:
-            own = own[keep[2][keep[0][own]].any(1)]
-            if not len(own):
-                continue
-        cosine = a.x[na[own]] @ b.x[nb].T
-        single = (ra[own] == 0)[:, None] & (rb == 0)[None, :]
-        d = distance(cosine)
-        sure = np.where(single, cosine >= least, d + ra[own][:, None] + rb[None, :] < radius - SLACK)
-        maybe = ~sure & ~single & (d <= radius + ra[own][:, None] + rb[None, :] + SLACK)
-        yield "nodes", own, sure
-        for i in np.flatnonzero(maybe.any(1)):
-            pa_, pb = members_a[own[i]], np.concatenate([members_b[j] for j in np.flatnonzero(maybe[i])])
-            yield "points", pa_, pb, a.x[pa_] @ b.x[pb].T >= least
-
-
-def _members(label: np.ndarray, n: int) -> list[np.ndarray]:
-    order = np.argsort(label, kind="stable")
-    return np.split(order, np.cumsum(np.bincount(label, minlength=n))[:-1])
+    def __init__(self, x: np.ndarray, radius: float):
+        n, r, self.levels = len(x), 1.0, []
+        while radius + 2 * r >= 2:
+            r /= 2
+        order, starts = np.arange(n), np.array([0, n])
+        ranges = []
+        while True:
+            label, centre = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=bool)
+            sizes = np.diff(starts)
+            centre[starts[:-1][sizes == 1]] = True
+            for g in np.flatnonzero(sizes > 1):
+                lo, hi = starts[g], starts[g + 1]
+                c, own = net(x[order[lo:hi]], r)
+                label[lo:hi], centre[lo + c] = own, True
+            group = np.repeat(np.arange(len(sizes)), sizes)
+            move = np.lexsort((label, group))
+            order, centre, group, label = order[move], centre[move], group[move], label[move]
+            starts = np.concatenate([np.flatnonzero(np.concatenate([[True], (np.diff(group) != 0) | (np.diff(label) != 0)])), [n]])
+            ranges.append((starts, order[centre]))
+            if r <= radius / 4 or len(starts) - 1 == n:
+                break
+            r /= 2
+        place = np.empty(n, dtype=np.int64)
+        place[order] = np.arange(n)
+        self.order, self.x = order, x[order]
+        for starts, centre in ranges:
+            at = place[centre]
+            own = np.repeat(at, np.diff(starts))
+            cover = np.maximum.reduceat(distance(np.einsum("ij,ij->i", self.x, self.x[own])), starts[:-1])
+            cover[np.diff(starts) == 1] = 0
+            self.levels.append((starts, at, cover))
+        if len(self.levels[-1][1]) < n:
+            self.levels.append((np.arange(n + 1), np.arange(n), np.zeros(n)))
+
+    def packed(self) -> bytes:
+        return pickle.dumps([(s.astype("<i4"), c.astype("<i4"), r.astype("<f8") if r.any() else len(r)) for s, c, r in self.levels])
+
+    @classmethod
+    def unpacked(cls, x: np.ndarray, data: bytes) -> Tree:
+        """The tree of points that are in its order already."""
+        own = cls.__new__(cls)
+        own.order, own.x = np.arange(len(x)), x
+        own.levels = [(s.astype(np.int64), c.astype(np.int64), np.zeros(r) if isinstance(r, int) else r) for s, c, r in pickle.loads(data)]
+        return own
+
+
+def _runs(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """All numbers of the runs [first, last)."""
+    n = last - first
+    ends = np.cumsum(n)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - n), n)
+
+
+def dual(a: Tree, b: Tree, least: float, chunk: int = 2_000_000):
+    """Descends the live pairs of nodes. Yields (first and last point of a's nodes, of b's, centres in a, in b) for pairs of
+    nodes that link whole, single points among them, and as last item the number of node pairs that were compared."""
+    radius, spare, work = math.sqrt(2 - 2 * least), slack(a.x.shape[1]), 0
+    depth = max(len(a.levels), len(b.levels))
+    level = lambda t, k: t.levels[min(k, len(t.levels) - 1)]
+    todo = [(np.arange(len(level(a, 0)[1])), np.arange(len(level(b, 0)[1])))]
+    for k in range(depth):
+        (sa, ca, ra), (sb, cb, rb) = level(a, k), level(b, k)
+        one_a, one_b = np.diff(sa) == 1, np.diff(sb) == 1
+        below = k + 1 < depth
+        if below:
+            kids_a, kids_b = (np.searchsorted(level(t, k + 1)[0], s) for t, s in ((a, sa), (b, sb)))
+        after = []
+        for rows, cols in todo:
+            for own_cols in (cols[one_b[cols]], cols[~one_b[cols]]):
+                if not len(own_cols):
+                    continue
+                other, reach = b.x[cb[own_cols]], rb[own_cols].max()
+                for own_rows in (rows[one_a[rows]], rows[~one_a[rows]]):
+                    step = max(1, chunk // len(own_cols))
+                    for at in range(0, len(own_rows), step):
+                        r = own_rows[at : at + step]
+                        cosine = a.x[ca[r]] @ other.T
+                        work += cosine.size
+                        far = radius + ra[r] + reach + spare
+                        i, j = np.nonzero(cosine >= np.where(far >= 2, -2, 1 - far * far / 2)[:, None])
+                        if not len(i):
+                            continue
+                        c, i, j = cosine[i, j], r[i], own_cols[j]
+                        single = one_a[i] & one_b[j]
+                        d, cover = distance(c), ra[i] + rb[j]
+                        whole = np.where(single, c >= least, d + cover < radius - spare)
+                        if whole.any():
+                            u, v = i[whole], j[whole]
+                            yield sa[u], sa[u + 1], sb[v], sb[v + 1], ca[u], cb[v]
+                        live = ~single & ~whole & (d <= radius + cover + spare)
+                        if below and live.any():
+                            after.append((i[live], j[live]))
+        todo = []
+        if after:
+            i, j = (np.concatenate(z) for z in zip(*after, strict=True))
+            order = np.lexsort((j, i))
+            i, j = i[order], j[order]
+            cut = np.concatenate([[0], np.flatnonzero(np.diff(i)) + 1, [len(i)]])
+            for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                todo.append((np.arange(kids_a[i[lo]], kids_a[i[lo] + 1]), _runs(kids_b[j[lo:hi]], kids_b[j[lo:hi] + 1])))
+    yield work
 
 
 def _roots(n: int, edges: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -120,133 +186,200 @@ def _roots(n: int, edges: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
 
 
 def joined(a: Tree, b: Tree, same: bool, mass_a: np.ndarray, mass_b: np.ndarray, least: float):
-    """(links of a's points, links of b's points, component label over a's then b's points)."""
+    """(links of a's points, links of b's points, component label over a's then b's points, node pairs compared)."""
     na, nb = len(a.x), len(b.x)
-    (ca, la, _), (cb, lb, _) = a.levels[-1], b.levels[-1]
-    node_a, node_b = np.bincount(la, mass_a, minlength=len(ca)), np.bincount(lb, mass_b, minlength=len(cb))
-    count_na, count_nb, count_a, count_b = np.zeros(len(ca)), np.zeros(len(cb)), np.zeros(na), np.zeros(nb)
-    edges = []
-    inside = []  # nodes some link holds whole: their points are linked through it
-    for kind, *found in dual(a, b, least):
-        if kind == "nodes":
-            own, sure = found
-            count_na[own] += sure @ node_b
-            count_nb += node_a[own] @ sure
-            i, j = np.nonzero(sure)
-            edges.append((ca[own[i]], na + cb[j]))
-            inside += [("a", np.unique(own[i])), ("b", np.unique(j))]
-        else:
-            pa_, pb, hit = found
-            count_a[pa_] += hit @ mass_b[pb]
-            count_b[pb] += mass_a[pa_] @ hit
-            i, j = np.nonzero(hit)
-            edges.append((pa_[i], na + pb[j]))
-    for side, nodes in inside:
-        label, centre, base = (la, ca, 0) if side == "a" else (lb, cb, na)
-        pick = np.zeros(len(centre), dtype=bool)
-        pick[nodes] = True
-        own = np.flatnonzero(pick[label])
-        edges.append((base + own, base + centre[label[own]]))
+    sum_a, sum_b = (np.concatenate([[0.0], np.cumsum(m)]) for m in (mass_a, mass_b))
+    count_a, count_b = np.zeros(na + 1), np.zeros(nb + 1)  # differences from point to point
+    edges, work = [], 0
+    for found in dual(a, b, least):
+        if isinstance(found, int):
+            work = found
+            break
+        a0, a1, b0, b1, u, v = found
+        for count, first, last, more in ((count_a, a0, a1, sum_b[b1] - sum_b[b0]), (count_b, b0, b1, sum_a[a1] - sum_a[a0])):
+            np.add.at(count, first, more)
+            np.add.at(count, last, -more)
+        edges.append((u, na + v))
+        for first, last, centre, base in ((a0, a1, u, 0), (b0, b1, v, na)):
+            big = np.unique(np.flatnonzero(last - first > 1))
+            if len(big):  # all points of a node that links whole are linked through the other node
+                _, pick = np.unique(first[big], return_index=True)
+                big = big[pick]
+                edges.append((base + _runs(first[big], last[big]), base + np.repeat(centre[big], last[big] - first[big])))
     if same:
         edges.append((np.arange(na), na + np.arange(na)))
-    return count_a + count_na[la], count_b + count_nb[lb], _roots(na + nb, edges)
-
+    return np.cumsum(count_a)[:-1], np.cumsum(count_b)[:-1], _roots(na + nb, edges), work
+
+
+def _units(data: list[bytes], kind: str) -> np.ndarray:
+    x = np.frombuffer(b"".join(data), dtype=kind).reshape(len(data), -1).astype(np.float64)
+    x /= np.abs(x).max(1, keepdims=True)  # no square overflows or vanishes
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _cells(vectors: DataFrame, kind: str, width: int, block: int) -> tuple[DataFrame, int]:
+    """vectors (rep, copies, data) with their cell, and the number of levels above it: a cell is its parent's number
+    times FAN plus the number of its centre. Centres are drawn from the vectors of large cells by the hash of rep."""
+    cells, levels = vectors.withColumn("cell", F.lit(0).cast("long")), 0
+    while levels < 6:
+        sizes = cells.groupBy("cell").count().where(F.col("count") > block)
+        most = CENTRE_BYTES // (8 * width * FAN)
+        large = {r.cell: r["count"] for r in sizes.limit(most + 1).collect()}
+        if not large or len(large) > most:
+            break
+        share = F.create_map(*[F.lit(x) for c, n in large.items() for x in (c, 4.0 * min(FAN, -(-n // block)) / n)])[F.col("cell")]
+        drawn = cells.where(F.pmod(F.xxhash64("rep", F.lit(levels)), F.lit(1 << 30)) < share * (1 << 30))
+
+        def pick(key, t):
+            x = _units(t.column("data").to_pylist(), kind)
+            c = net(x, 0.5)[0][: min(FAN, -(-large[key[0].as_py()] // block))]
+            return pa.table({"cell": [key[0]], "centres": [x[c].tobytes()]})
+
+        centres = {r.cell: np.frombuffer(r.centres).reshape(-1, width) for r in drawn.groupBy("cell").applyInArrow(pick, "cell long, centres binary").collect()}
+        if all(len(c) < 2 for c in centres.values()):
+            break
+        sent = vectors.sparkSession.sparkContext.broadcast(centres)
+
+        def assign(rows, sent=sent):
+            for batch in rows:
+                if not batch.num_rows:
+                    continue
+                cell = batch.column("cell").to_numpy()
+                new = cell * FAN
+                known = np.flatnonzero(np.isin(cell, list(sent.value)))
+                if len(known):
+                    x = _units(batch.column("data").take(pa.array(known)).to_pylist(), kind)
+                    for c in np.unique(cell[known]):
+                        own = cell[known] == c
+                        new[known[own]] += (x[own] @ sent.value[c].T).argmax(1)
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("rep", "copies", "data")), pa.array(new)], names=["rep", "copies", "data", "cell"])
+
+        before = cells
+        cells = stored(cells.mapInArrow(assign, "rep long, copies long, data binary, cell long"), "cells")
+        if levels:
+            discard(before)
+        levels += 1
+    return cells, levels
+
+
+def _heads(rows: DataFrame, width: int) -> DataFrame:
+    """Children (node, centre, cover) packed by parent: (parent, nodes, centres, covers), with the parent's own centre and a bound of its cover."""
 
-def _unit(batch) -> np.ndarray:
-    return np.array(batch.column("vector").to_pylist(), dtype=np.float64)
+    def pack(key, t):
+        x = np.frombuffer(b"".join(t.column("centre").to_pylist())).reshape(-1, width)
+        middle = x.mean(0)
+        middle /= np.linalg.norm(middle) or 1.0
+        cover = t.column("cover").to_numpy()
+        bound = float((distance(x @ middle) + cover).max()) + slack(width)
+        return pa.table({"node": [key[0]], "nodes": [t.column("node").to_pylist()], "centres": [x.tobytes()], "covers": [cover.tolist()], "centre": [middle.tobytes()], "cover": [bound]})
 
+    return stored(rows.groupBy("parent").applyInArrow(pack, "node long, nodes array<long>, centres binary, covers array<double>, centre binary, cover double"), "heads")
 
-def _links(vectors: DataFrame, least: float, block: int, top: int) -> tuple[DataFrame, DataFrame]:
-    """vectors (rep, vector, copies), all of one length: (rep, n_links) and edges (u, v)."""
-    spark = vectors.sparkSession
-    n = vectors.count()
-    want = max(1, min(top, n // block))
-    sample = [r.vector for r in vectors.orderBy(F.xxhash64("rep"), "rep").limit(4 * want).collect()]
-    unit = np.array(sample, dtype=np.float64)
-    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-    centres = unit[net(unit, 0.5)[0][:want]]
-    finest = math.sqrt(2 - 2 * least) / 4
 
-    def assign(rows):
-        for batch in rows:
-            if not batch.num_rows:
-                continue
-            x = _unit(batch)
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
-            cell = (x @ centres.T).argmax(1)
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("copies"), pa.array(cell), pa.array([v.tobytes() for v in x], pa.binary())], names=["rep", "copies", "cell", "unit"])
-
-    cells = stored(vectors.mapInArrow(assign, "rep long, copies long, cell long, unit binary"), "cells")
-    cuts = {r.cell: max(1, -(-r["count"] // block)) for r in cells.groupBy("cell").count().collect()}
-    number = F.create_map(*[F.lit(v) for kv in cuts.items() for v in kv])[F.col("cell")]
-    dealt = cells.withColumn("block", F.col("cell") * F.lit(1_000_000) + F.pmod(F.xxhash64("rep"), number))
+def _links(vectors: DataFrame, kind: str, width: int, least: float, block: int) -> DataFrame:
+    """vectors (rep, copies, data), all of one width: rows (rep, links, root) of each pair of blocks for vectors with a link there."""
+    spark, radius, spare = vectors.sparkSession, math.sqrt(2 - 2 * least), slack(width)
+    cells, levels = _cells(vectors, kind, width, block)
+    cuts = cells.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).alias("cuts")).where("cuts > 1")
+    part = F.pmod(F.xxhash64("rep"), F.coalesce("cuts", F.lit(1)))
+    dealt = cells.join(cuts, "cell", "left").select("rep", "copies", "data", (F.shiftleft("cell", PART_BITS) + part).alias("block"))
 
     def pack(key, t):
-        x = np.frombuffer(b"".join(t.column("unit").to_pylist()), dtype=np.float64).reshape(t.num_rows, -1)
+        data = t.column("data").to_pylist()
+        x = _units(data, kind)
+        tree = Tree(x, radius)
         centre = x.mean(0)
         centre /= np.linalg.norm(centre) or 1.0
-        cover = float(distance(x @ centre).max())
-        return pa.table({"block": [key[0].as_py()], "n": [t.num_rows], "centre": [centre.tolist()], "cover": [cover], "reps": [t.column("rep").to_numpy().astype("<i8").tobytes()], "copies": [t.column("copies").to_numpy().astype("<i8").tobytes()], "data": [x.tobytes()]})
-
-    blocks = stored(dealt.groupBy("block").applyInArrow(pack, "block long, n long, centre array<double>, cover double, reps binary, copies binary, data binary"), "blocks")
-    heads = blocks.select("block", "centre", "cover").orderBy("block").collect()
-    middle, cover, names = np.array([h.centre for h in heads]), np.array([h.cover for h in heads]), [h.block for h in heads]
-    radius, pairs = math.sqrt(2 - 2 * least), []
-    for i in range(len(heads)):
-        live = np.flatnonzero(distance(middle[i:] @ middle[i]) <= radius + cover[i] + cover[i:] + SLACK) + i
-        pairs += [(names[i], names[j]) if (i + j) % 2 else (names[j], names[i]) for j in live.tolist()]
-    if not pairs:
-        pairs = [(b, b) for b in names]
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    plan = spark.createDataFrame(pairs, "a long, b long").repartition(min(parts, max(1, len(pairs))))
-    side = [blocks.select(F.col("block").alias(s), *(F.col(k).alias(f"{k}_{s}") for k in ("reps", "copies", "data"))) for s in "ab"]
-
-    def run(rows):
+        reps, copies = (t.column(k).to_numpy()[tree.order].astype("<i8").tobytes() for k in ("rep", "copies"))
+        cover = float(distance(x @ centre).max()) + spare
+        return pa.table({"node": [key[0]], "centre": [centre.tobytes()], "cover": [cover], "reps": [reps], "copies": [copies], "data": [b"".join(data[i] for i in tree.order.tolist())], "tree": [tree.packed()]})
+
+    blocks = stored(dealt.groupBy("block").applyInArrow(pack, "node long, centre binary, cover double, reps binary, copies binary, data binary, tree binary"), "blocks")
+    heads = [_heads(blocks.select(F.shiftright("node", PART_BITS).alias("parent"), "node", "centre", "cover"), width)]
+    for _ in range(levels):
+        heads.append(_heads(heads[-1].select(F.floor(F.col("node") / FAN).alias("parent"), "node", "centre", "cover"), width))
+
+    def descend(rows):
         for batch in rows:
             for r in range(batch.num_rows):
                 get = {k: batch.column(k)[r].as_py() for k in batch.schema.names}
-                ids = [np.frombuffer(get[f"reps_{s}"], dtype="<i8") for s in "ab"]
-                mass = [np.frombuffer(get[f"copies_{s}"], dtype="<i8").astype(float) for s in "ab"]
-                same = get["a"] == get["b"]
-                trees = [Tree(np.frombuffer(get[f"data_{s}"], dtype=np.float64).reshape(len(i), -1), finest) for s, i in zip("ab", ids, strict=True) if s == "a" or not same]
-                trees = trees * 2 if same else trees
-                ca, cb, label = joined(*trees, same, *mass, least)
-                if same:
-                    ids[1], cb, count = ids[1][:0], cb[:0], ca - 1  # a vector is no link of its own
-                    label = label[: len(ids[0])]
-                    ca = count
-                rep, links = np.concatenate(ids), np.concatenate([ca, cb])
-                root = rep[np.minimum(label, len(rep) - 1)] if same else np.concatenate(ids)[label]
-                some = (links > 0) | (root != rep)
-                yield pa.RecordBatch.from_arrays([pa.array(rep[some]), pa.array(np.rint(links[some]).astype(np.int64)), pa.array(root[some])], names=["rep", "links", "root"])
-
-    found = stored(plan.join(side[0], "a").join(side[1], "b").mapInArrow(run, "rep long, links long, root long"), "found")
-    return found.groupBy("rep").agg(F.sum("links").alias("n_links")), found.where("rep != root").select(F.col("rep").alias("u"), F.col("root").alias("v"))
-
-
-def threshold_links(vectors: DataFrame, least: float = 0.95, block: int = 4096, top: int = 4096) -> DataFrame:
+                xa, xb = (np.frombuffer(get[f"centres_{s}"]).reshape(-1, width) for s in "ab")
+                live = distance(xa @ xb.T) <= radius + np.array(get["covers_a"])[:, None] + np.array(get["covers_b"])[None, :] + spare
+                if get["a"] == get["b"]:
+                    live = np.triu(live)
+                i, j = np.nonzero(live)
+                na, nb = np.array(get["nodes_a"], dtype=np.int64), np.array(get["nodes_b"], dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(na[i]), pa.array(nb[j])], names=["a", "b"])
+
+    pairs = spark.createDataFrame([(0, 0)], "a long, b long")
+    for table in reversed(heads):
+        side = [table.select(F.col("node").alias(s), *(F.col(k).alias(f"{k}_{s}") for k in ("nodes", "centres", "covers"))) for s in "ab"]
+        with arrow_rows(spark, 64):
+            pairs = stored(pairs.join(side[0], "a").join(side[1], "b").mapInArrow(descend, "a long, b long"), "frontier")
+
+    def run(key, t):
+        order = np.argsort(t.column("node").to_numpy() != key[0].as_py(), kind="stable").tolist()
+        column = {k: t.column(k).take(order).to_pylist() for k in ("reps", "copies", "data", "tree")}
+        ids = [np.frombuffer(v, dtype="<i8") for v in column["reps"]]
+        mass = [np.frombuffer(v, dtype="<i8").astype(float) for v in column["copies"]]
+        size = np.dtype(kind).itemsize * width
+        trees = [Tree.unpacked(_units([d[i : i + size] for i in range(0, len(d), size)], kind), p) for d, p in zip(column["data"], column["tree"], strict=True)]
+        if same := len(trees) == 1:
+            links, _, label, _ = joined(trees[0], trees[0], True, mass[0], mass[0], least)
+            rep, links, label = ids[0], links - 1, label[: len(ids[0])]  # a vector is no link of its own
+        else:
+            la, lb, label, _ = joined(*trees, same, *mass, least)
+            rep, links = np.concatenate(ids), np.concatenate([la, lb])
+        links, root = np.rint(links).astype(np.int64), rep[label]
+        some = (links > 0) | (root != rep)
+        return pa.table({"rep": rep[some], "links": links[some], "root": root[some]})
+
+    sides = pairs.withColumn("node", F.explode(F.array_distinct(F.array("a", "b")))).join(blocks.drop("centre", "cover"), "node")
+    return stored(sides.groupBy("a", "b").applyInArrow(run, "rep long, links long, root long"), "found")
+
+
+def threshold_links(vectors: DataFrame, least: float = 0.95, block: int = 8192) -> DataFrame:
     """Rows (vec_id, n_links, component_id, kept), one per row of vectors (vec_id, embedding; other columns are ignored).
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors of different
-    lengths don't link. Equal vectors link with each other (their cosine is 1); they are joined as one with a count.
-    Rows with equal ids are rows of their own. A null id has a null component and kept false. At most `top` centres
-    and one head per block are gathered on the driver.
+    lengths don't link. Equal vectors link with each other (their cosine is 1); they are joined as one with a count, so
+    a vector that a third of all rows hold costs no more than another. Rows with equal ids are rows of their own. A null
+    id has a null component, unless its vector links with one that has an id, and kept false. An empty table gives no
+    rows. Longer vectors need more memory a block (block times their length), nothing else.
+
+    Gathered on the driver and broadcast: centres of large cells, at most CENTRE_BYTES.
     """
-    own = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    wide = not isinstance(vectors.schema["embedding"].dataType.elementType, T.FloatType)
+    kind = "<f8" if wide else "<f4"
+    own = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{'double' if wide else 'float'}>").alias("embedding"))
     finite = F.forall("embedding", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
-    good = own.where(F.col("embedding").isNotNull() & (F.size("embedding") > 0) & finite & F.exists("embedding", lambda e: e != 0))
-    reps = good.groupBy("embedding").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("copies"))
+    ok = F.coalesce(F.col("embedding").isNotNull() & (F.size("embedding") > 0) & finite & F.exists("embedding", lambda e: e != 0), F.lit(False))
+    alone = own.where(~ok).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    reps = own.where(ok).groupBy("embedding").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("copies"))
     reps = stored(reps.withColumn("rep", F.monotonically_increasing_id()), "reps")
-    links, edges = None, None
+    found = None
     for r in reps.select(F.size("embedding").alias("length")).distinct().orderBy("length").collect():
-        some = reps.where(F.size("embedding") == r.length).select("rep", F.col("embedding").alias("vector"), "copies")
-        one, two = _links(some, least, block, top)
-        links, edges = (one, two) if links is None else (links.unionByName(one), edges.unionByName(two))
-    if links is None:
-        return own.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    comp = components(edges, "vectors")
-    least_id = reps.join(comp, F.col("node") == F.col("rep"), "left").withColumn("component", F.coalesce("component", "rep"))
-    low = least_id.groupBy("component").agg(F.min("first").alias("low"))
-    table = least_id.join(low, "component").join(links, "rep", "left").select("embedding", F.coalesce("n_links", F.col("copies") - 1).alias("n_links"), "low")
-    out = own.join(table, "embedding", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce(F.least("low", "vec_id"), "vec_id").alias("component_id"))
+
+        def as_bytes(rows, kind=kind):
+            for batch in rows:
+                data = [np.array(v, dtype=kind).tobytes() for v in batch.column("embedding").to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("copies"), pa.array(data, pa.binary())], names=["rep", "copies", "data"])
+
+        with tables() as made:
+            some = reps.where(F.size("embedding") == r.length).select("rep", "copies", "embedding")
+            one = _links(some.mapInArrow(as_bytes, "rep long, copies long, data binary"), kind, r.length, least, block)
+            made.release(one)
+        found = one if found is None else found.unionByName(one)
+    if found is None:
+        out = alone
+    else:
+        links = found.groupBy("rep").agg(F.sum("links").alias("n_links"))
+        comp = components(found.where("rep != root").select(F.col("rep").alias("u"), F.col("root").alias("v")), "vectors")
+        least_id = reps.join(comp, F.col("node") == F.col("rep"), "left").select("rep", "first", F.coalesce("component", "rep").alias("component"))
+        low = least_id.groupBy("component").agg(F.min("first").alias("low"))
+        table = stored(least_id.join(low, "component").join(links, "rep", "left").select("rep", "n_links", "low"), "table")
+        named = reps.join(table, "rep").select("embedding", F.coalesce("n_links", F.col("copies") - 1).alias("n_links"), "low")
+        # Rows of a very common vector meet in one key here; the join's other side has one row for it, so it can be split.
+        linked = own.where(ok).join(named, "embedding").select("vec_id", "n_links", F.col("low").alias("component_id"))
+        out = linked.unionByName(alone)
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

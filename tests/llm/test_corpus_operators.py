@@ -114,23 +114,84 @@ def test_op1_own_attributes(attrs):
     assert op1_site_style.main_text(f"<article><p>one</p><section {attrs}>two</section></article>") == "one"
 
 
+def _links_by_brute_force(x):
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link = u @ u.T >= 0.95
+    label = np.arange(len(x))
+    while not np.array_equal(label, new := np.array([label[link[i]].min() for i in range(len(x))])):
+        label = new
+    return link.sum(1) - 1, label
+
+
 @pytest.mark.parametrize("block", [40, 4096])
 def test_op3(spark, block):
     rng = np.random.default_rng(5)
     base = rng.normal(size=(150, 16))
     x = np.concatenate([base, base[:40] + rng.normal(size=(40, 16)) * 0.05, base[:1] + rng.normal(size=(60, 16)) * 0.2, base[:5]])
     rows = [(i, [float(v) for v in r], 0) for i, r in enumerate(x)]
-    rows += [(900, None, 0), (901, [0.0] * 16, 0), (902, [float("nan")] * 16, 0), (903, [None] * 16, 0), (904, [1.0, 2.0], 0), (905, [2.0, 4.0], 0)]
-    got = {r.vec_id: r for r in op3_cover_tree.threshold_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>, rep int"), block=block).collect()}
-    u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    link = u @ u.T >= 0.95
-    label = np.arange(len(x))
-    while not np.array_equal(label, new := np.array([label[link[i]].min() for i in range(len(x))])):
-        label = new
-    assert [got[i].n_links for i in range(len(x))] == (link.sum(1) - 1).tolist()
-    assert [got[i].component_id for i in range(len(x))] == label.tolist()
-    assert all(got[i].n_links == 0 and got[i].kept for i in range(900, 904))
-    assert (got[904].n_links, got[905].component_id, got[905].kept) == (1, 904, False)
+    rows += [(900, None, 0), (901, [0.0] * 16, 0), (902, [float("nan")] * 16, 0), (903, [None] * 16, 0), (904, [1.0, 2.0], 0), (905, [2.0, 4.0], 0), (906, [], 0)]
+    rows += [(None, rows[0][1], 0), (907, rows[3][1], 0), (907, rows[3][1], 0), (None, None, 0)]
+    got = {}
+    for r in op3_cover_tree.threshold_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>, rep int"), block=block).collect():
+        got.setdefault(r.vec_id, []).append(r)
+    x = np.concatenate([x, x[:1], x[3:4], x[3:4]])
+    links, label = _links_by_brute_force(x)
+    n = len(x) - 3
+    assert [got[i][0].n_links for i in range(n)] == links[:n].tolist()
+    assert [got[i][0].component_id for i in range(n)] == label[:n].tolist()
+    assert all(got[i][0].n_links == 0 and got[i][0].kept for i in (900, 901, 902, 903, 906))
+    assert (got[904][0].n_links, got[905][0].component_id, got[905][0].kept) == (1, 904, False)
+    assert [(r.n_links, r.component_id, r.kept) for r in got[907]] == [(links[n + 1], label[n + 1], False)] * 2
+    assert sorted((r.n_links, r.component_id, r.kept) for r in got[None] if r.n_links) == [(links[n], label[n], False)] and len(got[None]) == 2
+
+
+def test_op3_empty_and_float(spark):
+    empty = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
+    assert op3_cover_tree.threshold_links(empty).count() == 0
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(40, 300)).astype(np.float32)
+    x = np.concatenate([x, x[:9] * 7])
+    rows = [(i, [float(v) for v in r], 0) for i, r in enumerate(x)] + [(99, [1e30, 1e30], 0), (98, [1e-30, 1e-30], 0)]
+    got = {r.vec_id: r for r in op3_cover_tree.threshold_links(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    links, label = _links_by_brute_force(x.astype(float))
+    assert [got[i].n_links for i in range(len(x))] == links.tolist() and [got[i].component_id for i in range(len(x))] == label.tolist()
+    assert (got[99].n_links, got[99].component_id) == (1, 98)
+
+
+def test_op3_threshold_is_exact():
+    """Pairs 1e-10 to either side of the threshold, alone and inside dense nodes."""
+    rng = np.random.default_rng(7)
+    rows, want = [], []
+    for k in range(200):
+        a = rng.normal(size=64)
+        a /= np.linalg.norm(a)
+        o = rng.normal(size=64)
+        o -= (o @ a) * a
+        o /= np.linalg.norm(o)
+        c = 0.95 + (1e-10 if k % 2 else -1e-10)
+        rows += [a, a + rng.normal(size=64) * 1e-9 if k % 3 == 0 else rng.normal(size=64), c * a + np.sqrt(1 - c * c) * o]
+    x = np.array(rows)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    tree = op3_cover_tree.Tree(x, np.sqrt(0.1))
+    links, _, label, _ = op3_cover_tree.joined(tree, tree, True, np.ones(len(x)), np.ones(len(x)), 0.95)
+    want = (tree.x @ tree.x.T >= 0.95).sum(1)
+    assert np.array_equal(np.rint(links), want)
+
+
+def test_op3_prunes_node_pairs():
+    rng = np.random.default_rng(1)
+    x = np.repeat(rng.normal(size=(30, 64)), 100, 0) + rng.normal(size=(3000, 64)) * 0.1
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    tree = op3_cover_tree.Tree(x, np.sqrt(0.1))
+    ones = np.ones(len(x))
+    links, _, _, work = op3_cover_tree.joined(tree, tree, True, ones, ones, 0.95)
+    assert np.array_equal(np.rint(links), (tree.x @ tree.x.T >= 0.95).sum(1))
+    assert work < 0.05 * len(x) ** 2
+    for (start, centre, cover) in tree.levels:  # nested, and covers hold
+        assert start[0] == 0 and start[-1] == len(x)
+        for k in rng.integers(0, len(centre), 20):
+            own = tree.x[start[k] : start[k + 1]]
+            assert start[k] <= centre[k] < start[k + 1] and np.linalg.norm(own - tree.x[centre[k]], axis=1).max() <= cover[k] + op3_cover_tree.slack(64)
 
 
 def test_op4(spark, odd, docs):
