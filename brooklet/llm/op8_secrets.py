@@ -20,25 +20,50 @@ BASE = (
 )
 #: Candidates that ownership decides on.
 OPAQUE = ("opaque", r"[A-Za-z0-9+/_-]{32,}", 0, 32)
-SPAN = "array<struct<start:bigint,stop:bigint,rank:int,kind:string,value:string>>"
+ITEM = "struct<start:bigint,stop:bigint,rank:int,kind:string,value:string>"
+SPAN = f"array<{ITEM}>"
+
+
+#: Rows of a list that are folded at once: appending to a list copies it, so long lists are made of blocks.
+BLOCK = 256
+
+
+def _bound(value: Column, use) -> Column:
+    """use(value) with value evaluated once: a lambda's argument is, an expression inside a lambda isn't."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _running(rows: Column, made: str, step, around=None) -> Column:
+    """Outputs of step(state, row) -> struct(at bigint, found), folded over rows with a running position; block by block,
+    so the work grows with the rows and their blocks. found: list of what is made. around(state, block, fold) may put
+    something round a block's fold."""
+    blocks = F.sequence(F.lit(0), F.floor(F.greatest(F.size(rows) - 1, F.lit(0)) / BLOCK).cast("int"))
+    kind = f"struct<at:bigint,found:array<{made}>>"
+
+    def one(done, k):
+        at = F.coalesce(F.get(done, F.size(done) - 1)["at"], F.lit(0).cast("bigint"))
+        zero = F.struct(at.alias("at"), F.array().cast(f"array<{made}>").alias("found"))
+        fold = lambda own, f=step: F.aggregate(own, zero, f)
+        own = F.slice(rows, k * BLOCK + 1, BLOCK)
+        return F.array_append(done, around(at, own, fold) if around else fold(own))
+
+    return F.aggregate(blocks, F.array().cast(f"array<{kind}>"), one)
 
 
 def _matches(text: Column, kind: str, pattern: str, group: int, least: int, rank: int) -> Column:
     """Spans of the leftmost non-overlapping matches: their lengths and those of the pieces between add up to positions."""
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
-    between = F.split(text, pattern, -1)
-    rows = F.arrays_zip(between.alias("b"), whole.alias("w"), value.alias("v"))
-    empty = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(SPAN).alias("found"))
+    rows = F.arrays_zip(F.transform(F.split(text, pattern, -1), F.length).alias("b"), whole.alias("w"))
 
     def step(acc, r):
-        start = acc["at"] + F.length(r["b"])
+        start = acc["at"] + r["b"]
         stop = start + F.length(r["w"])
-        span = F.struct(start.alias("start"), stop.alias("stop"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), r["v"].alias("value"))
-        keep = F.length(r["v"]) >= least
-        return F.struct(F.coalesce(stop, start).alias("at"), F.when(keep, F.array_append(acc["found"], span)).otherwise(acc["found"]).alias("found"))
+        value = F.regexp_extract(r["w"], pattern, group) if group else r["w"]
+        span = F.struct(start.alias("start"), stop.alias("stop"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), value.alias("value"))
+        found = F.when(F.length(value) >= least, F.array_append(acc["found"], span)).otherwise(acc["found"])
+        return F.struct(F.coalesce(stop, start).alias("at"), found.alias("found"))
 
-    spans = F.aggregate(rows, empty, step, lambda acc: acc["found"])
+    spans = _bound(rows, lambda r: F.flatten(F.transform(_running(r, ITEM, step), lambda x: x["found"])))
     return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(SPAN))
 
 
@@ -81,6 +106,11 @@ def _joined(spans: Column) -> Column:
 
 
 def scan_report(docs: DataFrame, owner: str = "source") -> DataFrame:
+    """Rows (doc_id, n_assign, n_access, n_hex, base_sha256, spans), one per row of docs, as find_spans says; spans by kind:start:end.
+
+    Empty and null texts have no spans and the hash of nothing; an empty table gives no rows. Work grows with a text's
+    length and matches, however many. Other columns are ignored, whatever their names.
+    """
     found = find_spans(docs, owner)
 
     def count_of(kind):
@@ -91,16 +121,29 @@ def scan_report(docs: DataFrame, owner: str = "source") -> DataFrame:
 
 
 def redacted(text: Column, spans: Column, mark: str = "[REDACTED]") -> Column:
-    """text with every span (sorted by start, possibly overlapping) replaced by mark."""
-    empty = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("parts"))
+    """text with every span (sorted by start, possibly overlapping) replaced by mark; null text stays null, and no span
+    changes nothing. A block of spans is cut out of the text first, as a position is found by reading up to it."""
+
+    def cut(whole, first, last):
+        return F.substring(whole, (first + 1).cast("int"), (last - first).cast("int"))
+
+    def around(at, own, fold):
+        def inside(at_):
+            stop = F.array_max(F.transform(own, lambda s: s["stop"]))
+
+            def step(piece):
+                def one(acc, s):
+                    parts = F.concat(acc["found"], F.array(cut(piece, acc["at"] - at_, s["start"] - at_), F.lit(mark)))
+                    return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.when(s["start"] >= acc["at"], parts).otherwise(acc["found"]).alias("found"))
+
+                return F.aggregate(own, F.struct(at_.alias("at"), F.array().cast("array<string>").alias("found")), one)
+
+            return _bound(cut(text, at_, F.greatest(stop, at_)), step)
 
-    def step(acc, s):
-        new = s["start"] >= acc["at"]
-        cut = F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        parts = F.when(new, F.concat(acc["parts"], F.array(cut, F.lit(mark)))).otherwise(acc["parts"])
-        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), parts.alias("parts"))
+        return _bound(at, inside)
 
-    def close(acc):
-        return F.concat(F.array_join(acc["parts"], ""), F.substring(text, (acc["at"] + 1).cast("int"), F.length(text)))
+    def close(done):
+        last = F.get(done, F.size(done) - 1)["at"]
+        return F.concat(F.array_join(F.flatten(F.transform(done, lambda x: x["found"])), ""), F.substring(text, (last + 1).cast("int"), F.length(text)))
 
-    return F.when(F.size(spans) > 0, F.aggregate(spans, empty, step, close)).otherwise(text)
+    return F.when(F.size(spans) > 0, _bound(_bound(spans, lambda s: _running(s, "string", None, around)), close)).otherwise(text)

@@ -433,6 +433,29 @@ def test_op8(spark):
     assert "é😀 [REDACTED] tail" in {r.t for r in clean}
 
 
+def test_op8_many_matches(spark):
+    import re
+    import time
+
+    random.seed(4)
+    runs = [random.choice(["0123456789abcdef" * 2, "é😀 password=abcdef1234567890abcdef1234567890", "plain words", "token: abcdef"]) + str(i) for i in range(100_000)]
+    text = " ; ".join(runs)
+    df = spark.createDataFrame([(1, text, "s"), (2, "", "s"), (3, None, "s")], "doc_id long, text string, source string")
+    began = time.time()
+    got = {r.doc_id: r for r in op8_secrets.scan_report(df).collect()}
+    assert got[1].n_hex == len(re.findall("[0-9a-f]{24,}", text)) and got[1].n_assign == sum(len(m[1]) >= 6 for m in re.finditer(r"(?:password|token)[:=]\x20*([A-Za-z0-9+/_.=-]+)", text))
+    assert got[2].spans == got[3].spans == ""
+    clean = df.join(op8_secrets.find_spans(df), "doc_id").where("doc_id = 1").select(op8_secrets.redacted(F.col("text"), F.col("spans")).alias("t")).first().t
+    spans, want, at = got[1].spans.split(","), [], 0
+    for start, stop in (map(int, x.split(":")[1:]) for x in spans):
+        if start >= at:
+            want += [text[at:start], "[REDACTED]"]
+        at = max(at, stop)
+    assert clean == "".join(want) + text[at:]
+    assert time.time() - began < 120
+    assert op8_secrets.scan_report(df.limit(0)).count() == 0
+
+
 def test_op9(spark, docs, odd):
     big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = op9_language.train(big)
