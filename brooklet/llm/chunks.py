@@ -12,6 +12,8 @@ from unicodedata import is_normalized
 
 import numpy as np
 
+from .common import Cache
+
 #: Marks that, after letters, make one pre-token together in both families.
 MARKS = ".,;:!?%&*#$()-"
 
@@ -25,33 +27,32 @@ def _alphabet() -> dict[int, int]:
 ALPHABET = _alphabet()
 
 
-class Chunks(dict):
-    """Ids of chunks that follow a space; False for a chunk that its text must not be cut at. Bounded by starting anew."""
+class Chunks(Cache):
+    """Ids of chunks that follow a space; False for a chunk that its text must not be cut at."""
 
-    def __init__(self, make, limit: int):
-        self.make, self.limit = make, limit
+    def __init__(self, make, most_bytes: int):
+        super().__init__(most_bytes)
+        self.make = make
 
     def __missing__(self, chunk: str):
-        if len(self) >= self.limit:
-            self.clear()
-        self[chunk] = ids = self.make(chunk)
-        return ids
+        ids = self.make(chunk)
+        return self.keep(chunk, ids, len(ids) if ids else 0)
 
 
 class ChunkEncoder:
     """Ids of whole texts as little-endian uint32 bytes, as tokenizers gives them with add_special_tokens=False.
 
-    limit bounds the chunks that are kept; beyond it the cache starts anew.
+    most_bytes bounds the chunks that are kept.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, most_bytes: int = 96 << 20):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.cache, self.tails = Chunks(self.learn, limit), Chunks(self.bpe, limit // 10)
+        self.cache, self.tails = Chunks(self.learn, most_bytes), Chunks(self.bpe, most_bytes // 8)
         self.model = self.lib.model
         self.lower = self.whole("A") == self.whole("a")  # the family that lower-cases also drops white space
         self.lead = "" if self.lower else " "

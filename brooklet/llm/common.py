@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import sys
 import tempfile
 import uuid
 
@@ -104,6 +105,27 @@ def arrow_rows(spark: SparkSession, most: int):
         spark.conf.set(key, before)
 
 
+class Cache(dict):
+    """Values by words or chunks, for one Python process: starts anew beyond most_bytes; keys over `longest` characters,
+    such as texts without spaces, aren't kept at all."""
+
+    def __init__(self, most_bytes: int = 64 << 20, longest: int = 256):
+        self.most_bytes, self.longest, self.used = most_bytes, longest, 0
+
+    def clear(self) -> None:
+        super().clear()
+        self.used = 0
+
+    def keep(self, key, value, size: int = 0):
+        """value, kept if its key isn't too long; size: bytes of value beside those of a small object."""
+        if len(key) <= self.longest:
+            self.used += sys.getsizeof(key) + size + 120
+            if self.used > self.most_bytes:
+                self.clear()
+            self[key] = value
+        return value
+
+
 def held_out(doc_id: str = "doc_id"):
     """Column: crc32 of the id as text, modulo 4, is 2. A null id is not held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -81,7 +81,9 @@ def shortest_pack_first(histogram: dict[int, int], cap: int) -> list[tuple[tuple
 
 
 def pack(docs: DataFrame, tokenizer_path: str, cap: int = 2048, end_id: int = 1, with_ids: bool = False) -> DataFrame:
-    """Pieces with sequence_id (from 0) and offset. Rows with equal ids are packed one by one; an empty table gives no rows.
+    """Pieces with sequence_id (from 0) and offset. Rows with equal or null ids are packed one by one; an empty table gives
+    no rows; null text is empty (its end id alone); other columns are ignored, whatever their names. A text of any length
+    is cut into pieces in one task, whose memory grows with that text.
 
     Gathered on the driver: the histogram only, at most cap rows. The rank of a piece within its length is its rank in
     (length, salt) plus the counts of earlier salts, so a length that a third of all pieces have is no single group.

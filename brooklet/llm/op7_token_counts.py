@@ -16,18 +16,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import ALPHABET, batches
+from .common import Cache
 
 #: Fixed value: the pre-token pattern of byte-level BPE.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 class MergeCounter:
-    """Counts tokens of whole texts; limit bounds the chunks kept in memory."""
+    """Counts tokens of whole texts; most_bytes bounds the chunks kept in memory."""
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, most_bytes: int = 64 << 20):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        vocab, self.limit, self.chunks = spec["model"]["vocab"], limit, {}
+        vocab, self.chunks = spec["model"]["vocab"], Cache(most_bytes)
         self.first = [vocab[chr(ALPHABET.get(b, b))] for b in range(256)]
         self.ranks = {}
         for rank, pair in enumerate(spec["model"]["merges"]):
@@ -85,12 +86,10 @@ class MergeCounter:
         get, chunks = self.chunks.get, self.chunks
         found = list(map(get, rest))
         if None in found:
-            if len(chunks) > self.limit:
-                chunks.clear()
             for k, (w, v) in enumerate(zip(rest, found, strict=True)):
                 if v is None:
                     if (v := get(w)) is None:
-                        v = chunks[w] = -1 if not w or w[0].isspace() or w[-1].isspace() else self.whole(" " + w)
+                        v = chunks.keep(w, -1 if not w or w[0].isspace() or w[-1].isspace() else self.whole(" " + w))
                     found[k] = v
         return self.whole(text) if -1 in found else sum(found) + (self.whole(head) if head else 0)
 
@@ -101,7 +100,12 @@ def counter(path: str) -> MergeCounter:
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512) -> DataFrame:
-    """Rows (doc_id, n_bytes, n_tokens, over_limit), one per row of docs; null text is empty; no shuffle."""
+    """Rows (doc_id, n_bytes, n_tokens, over_limit), one per row of docs; no shuffle.
+
+    Null text is empty (no bytes, no tokens); null and repeated ids keep a row each; an empty table gives no rows; other
+    columns are ignored, whatever their names. A text is counted whole, however long: a word's memory grows with the
+    word, what is kept between words is bounded.
+    """
 
     def count(rows):
         own = counter(tokenizer_path)
