@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import Cache, held_out, stored
 
 EDGES = "\"'`“”„«»‘’()[]{}<>.,;:!?…%&*#$-_/\\|~^+="
 QUOTES = "\"“”„«»"
@@ -83,10 +83,10 @@ def allowed(word: str) -> int:
 
 
 class Scorer:
-    """Features and scores of whole texts; limit bounds the words kept."""
+    """Features and scores of whole texts; most_bytes bounds the words kept."""
 
-    def __init__(self, terms: list[str], weights: np.ndarray | None = None, limit: int = 300_000):
-        self.trie, self.weights, self.limit, self.words = Trie(terms), weights, limit, {}
+    def __init__(self, terms: list[str], weights: np.ndarray | None = None, most_bytes: int = 64 << 20):
+        self.trie, self.weights, self.words = Trie(terms), weights, Cache(most_bytes)
         bare = [t.rstrip("*") for t in terms]
         self.heads, self.inner, self.least = {t[:2] for t in bare}, {t[2:5] for t in bare}, min(map(len, bare), default=0)
 
@@ -104,11 +104,8 @@ class Scorer:
         raw = text.lower().split()
         found = list(map(self.words.get, raw))
         if None in found:
-            if len(self.words) > self.limit:
-                self.words.clear()
-            for w in {w for w, v in zip(raw, found, strict=True) if v is None}:
-                self.words[w] = self.look(w)
-            found = list(map(self.words.get, raw))
+            new = {w: self.words.keep(w, self.look(w)) for w in {w for w, v in zip(raw, found, strict=True) if v is None}}
+            found = [new[w] if v is None else v for w, v in zip(raw, found, strict=True)]
         out = []
         for i, hit in enumerate(found):
             if hit:
@@ -160,7 +157,7 @@ def _terms_of(text: str) -> set[str]:
     return out
 
 
-def choose_terms(rows: list[tuple[str, int, int]], positives: int, negatives: int, least: int = 5, ratio: float = 40.0, most: int = 2000) -> list[str]:
+def choose_terms(rows: list[tuple[str, int, int]], positives: int, negatives: int, least: int = 5, ratio: float = 40.0) -> list[str]:
     """Terms of (term, positive documents, negative documents) that speak for label 1: at least `least` positive
     documents and a smoothed rate `ratio` times that of label 0. A beginning is kept only where it covers clearly more
     than one whole word; a longer beginning or word is dropped where a kept shorter one covers it."""
@@ -175,20 +172,24 @@ def choose_terms(rows: list[tuple[str, int, int]], positives: int, negatives: in
         if good[t][0] > 1.5 * whole:
             kept.append(t)
     kept += [w for w in sorted(words) if not any(w.startswith(k[:-1]) for k in kept)]
-    return sorted(kept, key=lambda t: (-good[t][0], t))[:most]
+    return sorted(kept, key=lambda t: (-good[t][0], t))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 8000) -> bytes:
     """Terms and weights from text and labels.toxic of rows that aren't held out.
 
-    At most `sample` rows of labels (least hashes of the id; half of them of label 1 at most, as far as there are), with
-    whole texts. Null labels, texts and ids are left out; a document labelled both ways counts as its greatest label.
+    At most `sample` documents with a label (least hashes of the id; half of them of label 1 at most, as far as there
+    are), with whole texts; they are stored once and read by each pass. Null labels, texts and ids are left out; a
+    document labelled both ways counts as its greatest label; of rows with equal ids the text with the least hash counts.
+    Without a labelled text every score is low. Other columns are ignored, whatever their names.
     """
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     own = own.where("doc_id is not null and toxic is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picks = [own.where(F.col("toxic") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample // 2) for v in (0, 1)]
     pick = F.broadcast(picks[0].unionByName(picks[1]))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(pick, "doc_id").select("text", "toxic")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(pick, "doc_id")
+    texts = texts.groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    texts = stored(texts.select("text", "toxic"), "labelled")
 
     def count(rows):
         total: dict[str, list[int]] = {}
@@ -248,7 +249,11 @@ def _scorer(key: int, model: bytes) -> Scorer:
 
 
 def score(docs: DataFrame, model: bytes, threshold: float = 0.3) -> DataFrame:
-    """Rows (doc_id, held_out, score, predicted), one per row of docs; null text is empty. No shuffle."""
+    """Rows (doc_id, held_out, score, predicted), one per row of docs. No shuffle.
+
+    Null text is empty, and the empty text has a score too; null and repeated ids keep a row each; an empty table gives
+    no rows; texts are scored whole, however long; other columns are ignored, whatever their names.
+    """
     sent, key = docs.sparkSession.sparkContext.broadcast(model), zlib.crc32(model)
 
     def run(rows):
