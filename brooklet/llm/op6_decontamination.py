@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import Cache, stored
 
 EDGES = "\"'`“”„«»‘’()[]{}<>.,;:!?…%&*#$-_/\\|~^+="
 BLOCK = 8
@@ -127,18 +127,16 @@ class Index:
         return out
 
 
-class Numbers(dict):
-    """Term numbers of raw words: 0 for a word that no item has, -1 for marks alone. Bounded by starting anew."""
+class Numbers(Cache):
+    """Term numbers of raw words: 0 for a word that no item has, -1 for marks alone."""
 
-    def __init__(self, terms: dict[str, int], limit: int):
-        self.terms, self.limit = terms, limit
+    def __init__(self, terms: dict[str, int], most_bytes: int):
+        super().__init__(most_bytes)
+        self.terms = terms
 
     def __missing__(self, raw: str) -> int:
-        if len(self) >= self.limit:
-            self.clear()
         word = raw.strip(EDGES)
-        self[raw] = number = self.terms.get(word, 0) if word else -1
-        return number
+        return self.keep(raw, self.terms.get(word, 0) if word else -1)
 
 
 class Benchmark:
@@ -149,10 +147,10 @@ class Benchmark:
     those of one index of all items.
     """
 
-    def __init__(self, items: list[tuple[int, list[str], list[str]]], limit: int = 300_000, whole: tuple[dict[str, int], int, float, dict[int, int]] | None = None):
+    def __init__(self, items: list[tuple[int, list[str], list[str]]], most_bytes: int = 64 << 20, whole: tuple[dict[str, int], int, float, dict[int, int]] | None = None):
         items = [x for x in items if x[1] or x[2]]
         self.terms: dict[str, int] = {}
-        self.words = Numbers(self.terms, limit)
+        self.words = Numbers(self.terms, most_bytes)
         own: dict[int, list] = {}
         for x in items:
             own.setdefault((len(x[1]) + len(x[2])).bit_length(), []).append(x)
@@ -198,15 +196,17 @@ def _benchmark(key: int, items: bytes) -> Benchmark:
     return Benchmark(made, whole=whole)
 
 
-RESULT = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
+RESULT = "doc_id long, text_key long, item_id long, score double, question_overlap double, answer_overlap double"
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.7, overlap: float = 0.5, block_rows: int = 20_000) -> DataFrame:
-    """Rows (doc_id, item_id, score, question_overlap, answer_overlap) for every document that holds a test item.
+    """Rows (doc_id, text_key, item_id, score, question_overlap, answer_overlap) for every document that holds a test item;
+    text_key is the xxhash64 of its text, to tell rows with equal or null ids apart.
 
     Items are taken in blocks of block_rows (by hash of the id), so what is broadcast is bounded; each block's index is
     queried by all passages of all texts, and scores by the statistics of all items. benchmark has item_id and text, or question and answer columns instead of
-    text. Null or empty texts match nothing; null ids are carried; repeated items and documents give a row each.
+    text. Null or empty texts match nothing; null ids are carried; repeated items and documents give a row each; an
+    empty table on either side gives no rows; other columns are ignored. A text's memory grows with its words.
     """
     spark = docs.sparkSession
     if {"question", "answer"} <= set(benchmark.columns):
@@ -215,8 +215,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.7, over
         items = benchmark.select(F.col("item_id").cast("long"), F.coalesce("text", F.lit("")), F.lit(None).cast("string"))
     items = items.toDF("item_id", "q", "a")
     blocks = max(1, -(-items.count() // block_rows))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null and text != ''")
-    out, block_of = None, F.pmod(F.xxhash64("item_id"), F.lit(blocks))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key")).where("text is not null and text != ''")
+    out, block_of = None, F.pmod(F.xxhash64("item_id", "q", "a"), F.lit(blocks))
     if blocks > 1:
         bags = stored(items.withColumn("block", block_of).mapInArrow(_bags, "block long, word string, size long"), "items")
         df = stored(bags.where("word is not null").groupBy("word").agg(F.count(F.lit(1)).alias("df")), "words")
@@ -258,6 +258,6 @@ def _bags(batches):
 def _run(sent, key, least, overlap, batches):
     index = _benchmark(key, sent.value)
     for batch in batches:
-        got = [(i, *m) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for m in index.matches(t, least, overlap)]
-        cols = list(zip(*got, strict=True)) if got else [[]] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 2 + [pa.float64()] * 3, strict=True)], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
+        got = [(i, k, *m) for i, t, k in zip(*(batch.column(x).to_pylist() for x in range(3)), strict=True) for m in index.matches(t, least, overlap)]
+        cols = list(zip(*got, strict=True)) if got else [[]] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 3 + [pa.float64()] * 3, strict=True)], names=["doc_id", "text_key", "item_id", "score", "question_overlap", "answer_overlap"])
