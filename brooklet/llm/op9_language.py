@@ -10,6 +10,7 @@ from __future__ import annotations
 import functools
 import pickle
 import re
+import sys
 import zlib
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chunks import batches
-from .common import held_out
+from .common import held_out, stored
 
 #: First and last code point of scripts.
 SCRIPTS = (("latin", 0x41, 0x24F), ("greek", 0x370, 0x3FF), ("cyrillic", 0x400, 0x52F), ("hebrew", 0x590, 0x5FF), ("arabic", 0x600, 0x6FF), ("devanagari", 0x900, 0x97F), ("thai", 0xE00, 0xE7F), ("hangul", 0xAC00, 0xD7AF), ("kana", 0x3040, 0x30FF), ("han", 0x4E00, 0x9FFF))
@@ -54,23 +55,25 @@ def counted(words: dict[str, int]) -> np.ndarray:
     return np.bincount(g.ravel(), np.repeat(weight, 4), minlength=BUCKETS + 1)[:BUCKETS]
 
 
-def train(docs: DataFrame, per_language: int = 400, languages: int = 200) -> bytes:
+def train(docs: DataFrame, per_language: int = 400) -> bytes:
     """Model from text and lang of rows that aren't held out; nulls are left out.
 
-    Fitted on at most per_language whole documents of each language, those with the least hashes of the id, for at most
-    `languages` languages (the most frequent; names break ties). Counts are summed on the executors; the driver gets a
-    fixed-size table for each language.
+    Fitted on at most per_language whole documents of each language, those with the least hashes of the id; of rows with
+    equal ids the text with the least hash counts. All languages are learned; counts are summed on the executors, and the
+    driver gets a table of fixed size (256 KB) for each language. An empty table gives a model that knows no language.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & ~held_out())
-    known = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
-    if not known:
+    number = rows.groupBy("lang").agg(F.approx_count_distinct("doc_id", 0.02).alias("ids"))
+    # Hashes below a bound that per_language ids of a language reach (but for one time in a billion); so the ranking sees
+    # few rows of each language, however many it has.
+    share = 1.15 * (per_language + 6 * per_language**0.5 + 30) / F.col("ids")
+    low = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).join(number, "lang")
+    low = low.where(F.col("doc_id").isNotNull() & (F.col("h").cast("double") <= share * 2.0**64 - 2.0**63)).select("doc_id", "lang", "h").distinct()
+    pick = low.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("k") <= per_language)
+    pick = stored(pick.select("doc_id", "lang"), "picked")
+    if pick.isEmpty():
         return pickle.dumps(([], np.zeros((BUCKETS + 1, 0), dtype=np.float32), np.zeros((len(SCRIPTS) + 1, 0), dtype=bool)))
-    # The least hashes per language and 64 salts first, so that no language's rows meet in one task.
-    salt = rows.where(F.col("lang").isin(known)).select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("salt", F.pmod("h", F.lit(64)))
-    first = salt.withColumn("k", F.row_number().over(Window.partitionBy("lang", "salt").orderBy("h", "doc_id"))).where(F.col("k") <= per_language)
-    pick = first.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("k") <= per_language)
-    pick = pick.select("doc_id", "lang").distinct()
 
     def count(batches_):
         total: dict[str, np.ndarray] = {}
@@ -90,7 +93,7 @@ def train(docs: DataFrame, per_language: int = 400, languages: int = 200) -> byt
             k = np.concatenate([keys, BUCKETS + 1 + np.arange(len(SCRIPTS) + 1)])
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(k)), "k": pa.array(k), "n": pa.array(np.concatenate([total[lang][keys], scripts[lang]]))})
 
-    sample = rows.join(F.broadcast(pick), ["doc_id", "lang"]).select("lang", "text")
+    sample = rows.join(pick, ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("lang", "text")
     sums = sample.mapInArrow(count, "lang string, k long, n double").groupBy("lang", "k").agg(F.sum("n").alias("n")).toPandas()
     names = sorted(set(sums["lang"]))
     col = {name: i for i, name in enumerate(names)}
@@ -106,28 +109,41 @@ def train(docs: DataFrame, per_language: int = 400, languages: int = 200) -> byt
 
 
 class Labeller:
-    """Labels whole texts; limit bounds the words kept."""
+    """Labels whole texts; most_bytes bounds the words kept between texts."""
 
-    def __init__(self, model: bytes, penalty: float = 8.0, limit: int = 300_000):
+    def __init__(self, model: bytes, penalty: float = 8.0, most_bytes: int = 96 << 20):
         self.names, self.logp, self.scripts = pickle.loads(model)
-        self.penalty, self.limit, self.floor = penalty, limit, -12.0
+        self.penalty, self.most_bytes, self.floor = penalty, most_bytes, -12.0
         self.excluded = -1000 - 2 * penalty  # below what two switches cost: a language that lacks a word's script never gets it
         self.reset()
 
     def reset(self) -> None:
         self.rows: dict[str, int] = {}
+        self.used = 0
         self.table, self.weight, self.n = np.zeros((1024, len(self.names)), dtype=np.float32), np.zeros(1024), 0
 
+    def scores(self, cores: list[str]) -> np.ndarray:
+        """Log-likelihood of each word in each language; a bounded number of n-grams at a time, however long a word is."""
+        g, at = grams(cores)
+        out = np.zeros((len(cores), len(self.names)), dtype=np.float32)
+        owner = np.repeat(np.arange(len(cores)), np.diff(np.append(at, len(g))))
+        step = max(64, 2_000_000 // max(1, len(self.names)))
+        for lo in range(0, len(g), step):
+            part, own = g[lo : lo + step], owner[lo : lo + step]
+            first = np.maximum(at[own[0] : own[-1] + 1], lo) - lo
+            out[own[0] : own[-1] + 1] += np.add.reduceat(self.logp[part].sum(1), first, axis=0)
+        return out
+
     def learn(self, words: list[str]) -> None:
         cores = ["".join(LETTERS.findall(w)) for w in words]
         lettered = [(w, c) for w, c in zip(words, cores, strict=True) if c]
         for w, c in zip(words, cores, strict=True):
+            self.used += sys.getsizeof(w) + 120 + (4 * len(self.names) + 8 if c else 0)
             if not c:
                 self.rows[w] = -1
         if not lettered:
             return
-        g, at = grams([c for _, c in lettered])
-        score = np.add.reduceat(self.logp[g].sum(1), at, axis=0)
+        score = self.scores([c for _, c in lettered])
         allowed = self.scripts[[script_of(c) for _, c in lettered]]
         allowed[~allowed.any(1)] = True  # a script that no training text has narrows nothing
         score -= np.where(allowed, score, -np.inf).max(1, keepdims=True)
@@ -200,7 +216,7 @@ class Labeller:
         words = text.lower().split()
         at = list(map(self.rows.get, words))
         if None in at:
-            if len(self.rows) > self.limit:
+            if self.used > self.most_bytes:
                 self.reset()
                 at = [None] * len(words)
             self.learn(list({w for w, a in zip(words, at, strict=True) if a is None}))
@@ -235,7 +251,8 @@ def predict(docs: DataFrame, model: bytes, penalty: float = 8.0) -> DataFrame:
     """Rows (doc_id, held_out, lang_pred, score): the language of most letters, and its share of them.
 
     `und` and 0 for null text or text without a letter (and for all, where nothing was learned). No shuffle; rows with
-    equal ids are labelled each.
+    equal or null ids are labelled each; an empty table gives no rows; other columns are ignored. Memory grows with the
+    words of a single text, and is bounded between texts.
     """
     sent, key = docs.sparkSession.sparkContext.broadcast(model), zlib.crc32(model)
 
