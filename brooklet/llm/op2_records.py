@@ -18,8 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import batches, encoder
-from .common import shared_dir, stored
+from .common import removed, shared_dir, stored, tables
 
+#: Size of the input, as Spark estimates it, for each file.
+PART_BYTES = 32 << 20
 INDEX = np.dtype([("id", "<i8"), ("null", "u1"), ("offset", "<u8"), ("length", "<u8")])
 
 
@@ -56,40 +58,52 @@ def unframe(read) -> np.ndarray | None:
 MANIFEST = "part long, file string, n_docs long, n_tokens long"
 
 
+def _source_bytes(df: DataFrame) -> int:
+    """Bytes of the files that df reads; sources of unknown size count nothing."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(n for n in sizes if n < 1 << 60)
+
+
 def write_records(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 0, parts: int = 0) -> DataFrame:
     """Encode docs (doc_id, text; other columns are ignored) and write them in ascending doc_id order, nulls first.
 
     Returns the manifest: one row per file that counts. A task that runs again writes files of other names; only those
     in the manifest are valid, so lost executors and speculative tasks leave no half-written data behind. Null text is
-    empty (its record holds the end id only); rows with equal ids are adjacent; an empty table gives no files.
+    empty (its record holds the end id only); rows with equal ids are adjacent; an empty table gives no files. A text of
+    any length is one record. parts: number of files; by default as many as shuffles have partitions, or more, so that
+    none stands for over PART_BYTES of input. Records and index are written as they come: a task holds a batch.
     """
     spark = docs.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not parts:
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-_source_bytes(docs) // PART_BYTES))
 
     def write(rows):
         from pyspark import TaskContext
 
         where, base = fs.FileSystem.from_uri(folder)
         where.create_dir(base, recursive=True)
-        part, name, out, index, at, tokens = TaskContext.get().partitionId(), "", None, [], 0, 0
+        part, name, out, marks, at, tokens, n = TaskContext.get().partitionId(), "", None, None, 0, 0, 0
         enc, end = encoder(tokenizer_path), np.array([end_id], dtype="<u4").tobytes()
         for batch in rows:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in batches(texts):
                 if out is None:
                     name = f"part-{part:05d}-{uuid.uuid4().hex}"
-                    out = where.open_output_stream(f"{base}/{name}.rec")
+                    out, marks = (where.open_output_stream(f"{base}/{name}.{x}") for x in ("rec", "idx"))
+                index = []
                 for i, raw in zip(ids[a:b], enc.encode(texts[a:b]), strict=True):
                     seq = np.frombuffer(raw + end, dtype="<u4")
                     data = frame(seq)
                     out.write(data)
                     index.append((i or 0, i is None, at, len(data)))
                     at, tokens = at + len(data), tokens + len(seq)
+                marks.write(np.array(index, dtype=INDEX).tobytes())
+                n += len(index)
         if out is not None:
             out.close()
-            with where.open_output_stream(f"{base}/{name}.idx") as f:
-                f.write(np.array(index, dtype=INDEX).tobytes())
-            yield pa.RecordBatch.from_pydict({"part": [part], "file": [name], "n_docs": [len(index)], "n_tokens": [tokens]})
+            marks.close()
+            yield pa.RecordBatch.from_pydict({"part": [part], "file": [name], "n_docs": [n], "n_tokens": [tokens]})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
@@ -97,7 +111,8 @@ def write_records(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
 
 
 def read_records(manifest: DataFrame, folder: str) -> DataFrame:
-    """Rows (doc_id, start, n_tokens, ids_crc32) from the files; every frame is checked. A manifest row per file is all that is gathered."""
+    """Rows (doc_id, start, n_tokens, ids_crc32) from the files; every frame is checked, and that it lies where the index
+    says. A manifest row per file is all that is gathered."""
     spark, known, before = manifest.sparkSession, [], 0
     for r in manifest.orderBy("part").collect():
         known.append((r.file, before))
@@ -107,19 +122,19 @@ def read_records(manifest: DataFrame, folder: str) -> DataFrame:
         where, base = fs.FileSystem.from_uri(folder)
         for batch in rows:
             for name, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                with where.open_input_stream(f"{base}/{name}.idx") as f:
-                    index = np.frombuffer(f.read(), dtype=INDEX)
-                out = {"doc_id": [], "start": [], "n_tokens": [], "ids_crc32": []}
-                with where.open_input_stream(f"{base}/{name}.rec", buffer_size=1 << 20) as f:
-                    for i, null, _, _ in index.tolist():
-                        if (ids := unframe(f.read)) is None:
-                            raise DamagedRecord("fewer records than the index has")
-                        for k, v in zip(out, (None if null else i, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())), strict=True):
-                            out[k].append(v)
-                        start += len(ids)
-                    if unframe(f.read) is not None:
+                at = 0
+                with where.open_input_stream(f"{base}/{name}.idx", buffer_size=1 << 20) as marks, where.open_input_stream(f"{base}/{name}.rec", buffer_size=1 << 20) as f:
+                    while data := marks.read(10_000 * INDEX.itemsize):
+                        out = {"doc_id": [], "start": [], "n_tokens": [], "ids_crc32": []}
+                        for i, null, offset, length in np.frombuffer(data, dtype=INDEX).tolist():
+                            if offset != at or (ids := unframe(f.read)) is None:
+                                raise DamagedRecord("the index and the records differ")
+                            for k, v in zip(out, (None if null else i, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())), strict=True):
+                                out[k].append(v)
+                            start, at = start + len(ids), at + length
+                        yield pa.RecordBatch.from_pydict(out, schema=pa.schema([(k, pa.int64()) for k in out]))
+                    if f.read(1):
                         raise DamagedRecord("more records than the index has")
-                yield pa.RecordBatch.from_pydict(out, schema=pa.schema([(k, pa.int64()) for k in out]))
 
     files = spark.createDataFrame(known, "file string, before long").repartition(max(1, len(known)))
     return files.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
@@ -139,5 +154,10 @@ def fetch(folder: str, name: str, positions: list[int]) -> list[np.ndarray]:
 
 
 def token_records(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+    """What read_records gives for docs, written to a folder of its own, which goes when it has been read back."""
     folder = f"{shared_dir(docs.sparkSession)}/records-{uuid.uuid4().hex}"
-    return read_records(write_records(docs, tokenizer_path, folder), folder)
+    with tables() as made:
+        out = stored(read_records(write_records(docs, tokenizer_path, folder), folder), "read")
+        made.release(out)
+    removed(docs.sparkSession, folder)
+    return out
