@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, stored
+from .common import Cache, components, discard, stored, tables
 
 U = np.uint64
 SIZE = 5
@@ -41,17 +41,14 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-class Words(dict):
-    """64-bit hashes of words; bounded by starting anew."""
+class Words(Cache):
+    """64-bit hashes of words."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 100_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
+        return self.keep(word, xxhash.xxh3_64_intdigest(word), 32)
 
 
-_words = Words()
+_words = Words(24 << 20)
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -161,7 +158,7 @@ def _class(s: np.ndarray) -> int:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
 
 
 def _slices(rows, size: int = 500):
@@ -180,7 +177,7 @@ def _arrays(column) -> list[np.ndarray]:
 def _sets_of(rows):
     for batch in _slices(rows):
         found = [(len(s), _class(s)) for s in map(shingle_set, batch.column(1).to_pylist())]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["doc_id", "n", "cls"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["doc_id", "text_key", "n", "cls"])
 
 
 def _keys_of(rows):
@@ -252,7 +249,10 @@ def _likely(keys: DataFrame, region: bool) -> DataFrame:
     kept = stored(hits.drop("hits", "need").join(enough.select("region", "ring", "member"), ["region", "ring", "member"], "left_semi"), "likely")
     several = kept.groupBy("region", "ring", "pivot").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("region", "ring", "pivot")
     out = kept.where("member != pivot").join(several, ["region", "ring", "pivot"], "left_semi")
-    return stored(out.select("region", "ring", "pivot", "member"), "stars")
+    out = stored(out.select("region", "ring", "pivot", "member"), "stars")
+    for table in (hits, kept):
+        discard(table)
+    return out
 
 
 def _measured(rows):
@@ -336,8 +336,9 @@ def _with_component(df: DataFrame, comp: DataFrame, column: str, name: str) -> D
     return df.join(c, column, "left").withColumn(name, F.coalesce(name, column))
 
 
-def class_links(docs: DataFrame, classes: DataFrame, most_members: int = 20_000, broadcast_rows: int = 500_000) -> DataFrame | None:
-    """Components (node, component) of the classes of equal sets; None where no two sets can be near.
+def class_links(docs: DataFrame, classes: DataFrame, most_members: int = 8_000, broadcast_rows: int = 500_000) -> DataFrame | None:
+    """Components (node, component) of the classes (cls, own) of equal sets; None where no two sets can be near. own: id
+    and text key of the row whose text stands for the class.
 
     most_members: sets of a region that one task joins; larger regions go to the next round.
     """
@@ -345,20 +346,20 @@ def class_links(docs: DataFrame, classes: DataFrame, most_members: int = 20_000,
     keys = _texts(docs).mapInArrow(_keys_of, "key long, cls long, need int").repartition(parts, "key").sortWithinPartitions("key", "cls")
     stars = _likely(keys, False)
     near = stars.select(F.explode(F.array("pivot", "member")).alias("cls")).distinct()
-    ids = stored(classes.join(near, "cls").select("doc_id", "cls"), "near")
+    ids = stored(classes.join(near, "cls").select("cls", F.col("own.doc_id").alias("own_id"), F.col("own.text_key").alias("own_key")), "near")
     n = ids.count()
     if not n:
         return None
-    own = _texts(docs).join(F.broadcast(ids) if n <= broadcast_rows else ids, "doc_id").select("cls", "text")
+    rows = _texts(docs)
+    own = rows.join(F.broadcast(ids) if n <= broadcast_rows else ids, rows.doc_id.eqNullSafe(F.col("own_id")) & (rows.text_key == F.col("own_key")))
+    own = own.groupBy("cls").agg(F.min("text").alias("text"))  # rows that are equal throughout count once
 
     def make(rows):
         for batch in _slices(rows):
             sets = [shingle_set(t) for t in batch.column(1).to_pylist()]
-            mine = [c == _class(s) for c, s in zip(batch.column(0).to_pylist(), sets, strict=True)]  # not of another text with the same id
-            sets = [s for s, m in zip(sets, mine, strict=True) if m]
             drawn = [sketch(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).filter(pa.array(mine, pa.bool_())), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([d[0] for d in drawn], pa.list_(pa.int64())), pa.array([d[1] for d in drawn], pa.list_(pa.binary()))],
+                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([d[0] for d in drawn], pa.list_(pa.int64())), pa.array([d[1] for d in drawn], pa.list_(pa.binary()))],
                 names=["cls", "n", "s", "rings", "sketches"],
             )
 
@@ -411,20 +412,33 @@ def class_links(docs: DataFrame, classes: DataFrame, most_members: int = 20_000,
         seed += 1
 
 
+def jaccard_groups(docs: DataFrame) -> DataFrame:
+    """Rows (doc_id, text_key, n_shingles, component_id, group), one per row of docs: text_key is the xxhash64 of the text,
+    group a number that the documents of a component share (null without shingles)."""
+    with tables() as made:
+        rows = stored(_texts(docs).mapInArrow(_sets_of, "doc_id long, text_key long, n long, cls long"), "shingles")
+        # The least id stands for a class; classes of null ids alone have one too, so they can be a link between others.
+        first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+        classes = rows.where("n > 0").groupBy("cls").agg(F.min(first).alias("own"))
+        comp = class_links(docs, classes)
+        made.release(rows, *([comp] if comp is not None else []))
+    classes = classes.select("cls", F.col("own.doc_id").alias("least"))
+    if comp is not None:
+        classes = classes.join(comp, F.col("node") == F.col("cls"), "left").select("cls", "least", F.coalesce("component", "cls").alias("group"))
+        low = classes.groupBy("group").agg(F.min("least").alias("component_id"))
+        classes = classes.join(low, "group").select("cls", "group", "component_id")
+    else:
+        classes = classes.select("cls", F.col("cls").alias("group"), F.col("least").alias("component_id"))
+    out = rows.where("n > 0").join(classes, "cls").select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "group")
+    return out.unionByName(rows.where("n = 0").select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("group")))
+
+
 def jaccard_classes(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id), one per row of docs.
 
     Null or wordless texts have an empty set and their own id as component. Rows with equal ids keep a row each. A null
-    id is its own component unless its text links it.
+    id is its own component (null) unless its text links it with a document that has an id; it links others like any.
+    An empty table gives no rows; other columns are ignored, whatever their names; texts are shingled whole, however
+    long, and a text's memory grows with its words.
     """
-    rows = stored(_texts(docs).mapInArrow(_sets_of, "doc_id long, n long, cls long"), "shingles")
-    classes = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    comp = class_links(docs, classes)
-    if comp is not None:
-        least = comp.join(classes, F.col("node") == F.col("cls"))
-        least = least.groupBy("component").agg(F.min("doc_id").alias("least")).join(comp, "component").select(F.col("node").alias("cls"), "least")
-        classes = classes.join(least, "cls", "left").select("cls", F.least("doc_id", "least").alias("component_id"))
-    else:
-        classes = classes.select("cls", F.col("doc_id").alias("component_id"))
-    out = rows.where("n > 0").join(classes, "cls").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    return jaccard_groups(docs).select("doc_id", "n_shingles", "component_id")

@@ -280,6 +280,8 @@ def test_op4(spark, odd, docs):
         assert [r.offset for r in rows] == [0, *itertools.accumulate(r.length for r in rows)][:-1]
         assert sum(r.length for r in rows) <= 2048
     assert sum(r.length for r in got) > 0.97 * 2048 * len(by_seq)
+    odd_ids = sorted((r.doc_id or -1, r.doc_tokens) for r in op4_packing.pack(odd, WORD).where("start = 0").collect())
+    assert odd_ids == sorted((-1 if r.doc_id is None else r.doc_id or -1, len(lib.encode(r.text or "", add_special_tokens=False).ids) + 1) for r in odd.collect())
     assert op4_packing.pack(odd.limit(0), WORD).count() == 0
     random.seed(1)
     for _ in range(30):
@@ -388,6 +390,52 @@ def test_op6_blocks(spark):
     assert len(one) >= 40 and found(20) == one and found(5) == one
 
 
+def test_caches_are_bounded(spark):
+    """Texts without spaces and many different words leave bounded caches, and the same results."""
+    from brooklet.llm.common import Cache
+
+    c = Cache(10_000, 50)
+    for i in range(2000):
+        assert c.keep(f"w{i}", i) == i and c.keep("x" * 60 + str(i), i) == i
+        assert c.used <= 10_000 and len(c) < 100
+    lib = Tokenizer.from_file(BYTE)
+    text = "".join(random.Random(1).choice("abcdef0123456789") for _ in range(200_000)) + " tail" * 5
+    assert len(encoder(BYTE).whole(text)) // 4 == op7_token_counts.counter(BYTE).count(text) == len(lib.encode(text, add_special_tokens=False).ids)
+    assert encoder(BYTE).encode([text])[0] == encoder(BYTE).whole(text) and max(map(len, encoder(BYTE).cache)) <= 256
+    small = op5_toxicity.Scorer(["stupid"], most_bytes=2000)
+    many = " ".join(f"word{i} stupid" for i in range(500))
+    assert len(small.hits(many)) == 500 and small.words.used <= 2000
+    words = [f"w{i}" for i in range(3000)]
+    rows = [(i, " ".join(words[(i * 37 + k) % 3000] for k in range(40)), f"l{i % 300:03d}") for i in range(900)]
+    model = op9_language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    label = op9_language.Labeller(model, most_bytes=100_000)
+    assert len(label.names) > 250  # all languages that aren't held out whole
+    whole = op9_language.Labeller(model)
+    texts = [r[1] for r in rows[:50]] + ["é" * 300_000 + " w1 w2"]
+    assert [label.predict(t) for t in texts] == [whole.predict(t) for t in texts]
+    assert len(label.rows) < 3000
+
+
+def test_op5_and_op9_repeats(spark):
+    """A sampled id that very many rows have adds one text to the sample; nulls and clashing names are ignored."""
+    rows = [(i, f"plain words number {i}", "en", i % 2) for i in range(40)] + [(1, f"copy {k} scumbag", "en", 1) for k in range(300)] + [(None, "x", None, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    model = op5_toxicity.train(df, df.select("doc_id", "toxic"))
+    assert op5_toxicity.score(df.select("*", F.lit(1).alias("score"), F.lit("").alias("held_out")), model).count() == len(rows)
+    names = op9_language.Labeller(op9_language.train(df.withColumn("h", F.lit(1)))).names
+    assert names == ["en"]
+    got = op9_language.predict(df.select("*", F.lit(1).alias("score"), F.lit("").alias("lang_pred")), op9_language.train(df)).collect()
+    assert len(got) == len(rows) and op9_language.predict(df.limit(0), op9_language.train(df)).count() == 0
+
+
+def test_op6_odd_rows(spark):
+    item = "what is the name of the tall tower in the old town by the river. it is called the round tower of stone"
+    bench = spark.createDataFrame([(1, item, 5), (1, item, 5), (None, item, 5), (2, None, 5), (3, "", 5)], "item_id long, text string, doc_id int")
+    docs = spark.createDataFrame([(1, item), (1, item), (None, "filler " * 50_000 + item), (4, None), (5, "")], "doc_id long, text string").withColumn("item_id", F.lit(7))
+    got = op6_decontamination.contaminated(docs, bench).collect()
+    assert sorted((r.doc_id or 0, r.item_id or 0) for r in got) == sorted([(1, 1)] * 4 + [(1, 0)] * 2 + [(0, 1)] * 2 + [(0, 0)])
+
+
 def test_op7_and_chunks(odd, docs):
     for path in (BYTE, WORD):
         e = encoder(path)
@@ -549,6 +597,20 @@ def test_op10(spark, monkeypatch, most_members):
     assert op10_jaccard.jaccard_classes(df.limit(0)).count() == 0
 
 
+def test_op10_null_ids_and_long_texts(spark):
+    random.seed(12)
+    words = [random.choice(["alpha", "beta", "gamma", "delta"]) + str(i) for i in range(200)]
+    text = lambda drop: " ".join(w if i not in drop else f"x{i}" for i, w in enumerate(words))
+    a, b, c = text(set()), text({10, 30}), text({10, 30, 60, 90, 120, 150})
+    brute = _brute([(1, a), (2, b), (3, c)])
+    assert [x for _, x in brute] == [1, 1, 1] and [x for _, x in _brute([(1, a), (3, c)])] == [1, 3]  # b is the bridge
+    long = "word " * 300_000 + "end"
+    rows = [(1, a, 0), (None, b, 0), (3, c, 0), (4, long, 0), (5, long.upper(), 0), (None, "quite alone here with six words", 0), (7, a, 0), (7, "another text with the same number", 0), (None, None, 0), (8, "", 0), (3, c, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, component_id int").select("*", F.lit(1).alias("group"), F.lit(2).alias("cls"))
+    got = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in op10_jaccard.jaccard_classes(df).collect())
+    assert got == sorted([(1, 196, 1), (0, 196, 1), (3, 196, 1), (3, 196, 1), (4, 2, 4), (5, 2, 4), (0, 2, 0), (7, 196, 1), (7, 2, 7), (0, 0, 0), (8, 0, 8)])
+
+
 def test_ring_guarantee():
     """Linked sets agree on a part that isn't empty, at all sizes."""
     rng = np.random.default_rng(9)

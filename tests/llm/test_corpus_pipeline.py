@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from brooklet.llm.common import stored
@@ -36,6 +37,52 @@ def test_stages(spark):
     assert {r.doc_id for r in packed.select("doc_id").collect()} == set(kept[3])
 
 
+def test_ids_that_say_little(spark):
+    """Rows are told apart by id and text: an id that two texts share, null ids, repeated rows, further columns."""
+    random.seed(13)
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first().text
+    make = lambda: " ".join(f"w{random.randrange(9999)}" for _ in range(80))
+    one, two, three, four = make(), make(), make(), make()
+    leak = f"{two} {item} {two[::-1]}"
+    rows = [(5, one), (7, one + " more"), (7, two), (None, one + " again"), (None, three), (None, three + " tail"), (9, four), (9, four), (10, None), (11, ""), (None, None), (8, leak), (8, three[::-1]), (None, leak[:-40])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), 1, "x") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, component_id int, `group` string")
+    kept = corpus_pipeline.near_copies(spark, docs, SF)
+    assert kept.columns == docs.columns
+    got = sorted(((r.doc_id or 0, r.text or "") for r in kept.collect()), key=str)
+    null_texts = [t for i, t in got if i == 0 and t]
+    assert [t for i, t in got if i in (5, 7, 9)] == [one, two, four]
+    assert len([t for t in null_texts if t.startswith(three)]) == 1 and not any(t.startswith(one) for t in null_texts)
+    assert {10, 11} <= {i for i, _ in got}
+    clean = corpus_pipeline.decontaminated(spark, docs, SF)
+    assert clean.columns == docs.columns
+    left = [(r.doc_id, r.text) for r in clean.collect()]
+    assert (8, leak) not in left and (8, three[::-1]) in left and (None, leak[:-40]) not in left and (None, None) in left and len(left) == len(rows) - 2
+    secret = docs.withColumn("text", F.when(F.col("doc_id") == 7, F.concat("text", F.lit(" password=abcdef0123"))).otherwise(F.col("text")))
+    out = corpus_pipeline.without_secrets(spark, secret, SF)
+    assert out.columns == docs.columns and out.count() == len(rows) and out.where("text like '%password%'").count() == 0
+    assert corpus_pipeline.packed(spark, docs, SF).where("start = 0").count() == len(rows)
+
+
+def test_run(spark, tmp_path):
+    """run() on a folder of its own: what is packed is what the stages keep, and no table of an earlier stage is left."""
+    from pathlib import Path
+
+    from brooklet.llm.common import shared_dir
+
+    source = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    source.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    folder = Path(shared_dir(spark).removeprefix("file://"))
+    before = set(folder.iterdir())
+    docs = source
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stored(stage(spark, docs, str(tmp_path)), "test")
+    middle = set(folder.iterdir())
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in got} == {r.doc_id for r in docs.collect()}
+    assert len(set(folder.iterdir()) - middle) <= 3 and len(middle - before) > 3
+
+
 @pytest.mark.parametrize("stage", [s for _, s in corpus_pipeline.STAGES])
 def test_empty(spark, stage):
     empty = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
