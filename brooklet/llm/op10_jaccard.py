@@ -27,41 +27,84 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, components, discard, stored, tables
+from .chunks import batches
+from .common import components, discard, stored, tables
 
 U = np.uint64
 SIZE = 5
 MUL = [U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
+FINAL = (U(30), U(0xBF58476D1CE4E5B9), U(27), U(0x94D049BB133111EB), U(31))
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser."""
-    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
-
+    a, m, b, n, c = FINAL
+    x = x ^ (x >> a)
+    x *= m
+    x ^= x >> b
+    x *= n
+    x ^= x >> c
+    return x
+
+
+WHITE = np.zeros(256, dtype=bool)
+WHITE[[0x20, *range(0x09, 0x0E)]] = True
+MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=U)
+LONG = 64
+
+
+def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(where each word of data begins, its 64-bit hash): eight bytes of all words at a time; longer words one by one."""
+    raw = np.frombuffer(data + bytes(8), dtype=np.uint8)
+    ink = ~WHITE[raw[: len(data)]]
+    edge = np.flatnonzero(np.diff(ink, prepend=False, append=False))
+    first, size = edge[::2], edge[1::2] - edge[::2]
+    eight = np.ndarray(shape=(len(data) + 1,), dtype="<u8", buffer=raw, strides=(1,))
+    out = size.astype(U) * MUL[0]
+    own = np.flatnonzero(size <= LONG)
+    for lane in range(0, LONG, 8):
+        own = own[size[own] > lane]
+        if not len(own):
+            break
+        out[own] = mixed((out[own] + MUL[1]) ^ (eight[first[own] + lane] & MASK[np.minimum(size[own] - lane, 8)]))
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[first[i] : first[i] + size[i]])
+    return first, out
 
-class Words(Cache):
-    """64-bit hashes of words."""
 
-    def __missing__(self, word: bytes) -> int:
-        return self.keep(word, xxhash.xxh3_64_intdigest(word), 32)
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct numbers."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
 
 
-_words = Words(24 << 20)
+def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
+    """For each text the sorted distinct hashes of its 5-word shingles; of the whole sequence where there are fewer words;
+    empty without words."""
+    out = []
+    for lo, hi in batches([t or "" for t in texts], most=500):
+        data = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts[lo:hi]]
+        begin, word = _word_hashes(b"\n".join(data))
+        ends = np.cumsum([len(d) + 1 for d in data])
+        at = np.searchsorted(begin, np.concatenate([[0], ends])).tolist()
+
+        def shingled(w, k):
+            h = np.full(len(w) - k + 1, U(k))
+            for i in range(k):
+                h += w[i : len(w) - k + 1 + i] * MUL[i]
+            return mixed(h)
+
+        whole = shingled(word, SIZE) if len(word) >= SIZE else word[:0]
+        for a, b in zip(at[:-1], at[1:], strict=True):
+            k = min(SIZE, b - a)
+            out.append(distinct(whole[a : b - SIZE + 1]) if k == SIZE else shingled(word[a:b], k) if k else word[:0])
+    return out
 
 
 def shingle_set(text: str | None) -> np.ndarray:
-    """Sorted distinct hashes of the 5-word shingles; of the whole sequence where there are fewer words; empty without words."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, dtype=U)
-    w = np.fromiter(map(_words.__getitem__, words), dtype=U, count=len(words))
-    k = min(SIZE, len(w))
-    h = np.full(len(w) - k + 1, U(k))
-    for i in range(k):
-        h += w[i : len(w) - k + 1 + i] * MUL[i]
-    return np.unique(mixed(h))
+    return shingle_sets([text])[0]
 
 
 @functools.lru_cache(maxsize=4096)
@@ -176,7 +219,7 @@ def _arrays(column) -> list[np.ndarray]:
 
 def _sets_of(rows):
     for batch in _slices(rows):
-        found = [(len(s), _class(s)) for s in map(shingle_set, batch.column(1).to_pylist())]
+        found = [(len(s), _class(s)) for s in shingle_sets(batch.column(1).to_pylist())]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["doc_id", "text_key", "n", "cls"])
 
 
@@ -190,8 +233,7 @@ def _keys_of(rows):
         return pa.RecordBatch.from_arrays([pa.array(key), pa.array(cls), pa.array(need, pa.int32())], names=["key", "cls", "need"])
 
     for batch in _slices(rows):
-        for text in batch.column(1).to_pylist():
-            s = shingle_set(text)
+        for s in shingle_sets(batch.column(1).to_pylist()):
             c = _class(s)
             if not len(s) or c in seen:
                 continue
@@ -356,7 +398,7 @@ def class_links(docs: DataFrame, classes: DataFrame, most_members: int = 8_000,
 
     def make(rows):
         for batch in _slices(rows):
-            sets = [shingle_set(t) for t in batch.column(1).to_pylist()]
+            sets = shingle_sets(batch.column(1).to_pylist())
             drawn = [sketch(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([d[0] for d in drawn], pa.list_(pa.int64())), pa.array([d[1] for d in drawn], pa.list_(pa.binary()))],

@@ -611,6 +611,25 @@ def test_op10_null_ids_and_long_texts(spark):
     assert got == sorted([(1, 196, 1), (0, 196, 1), (3, 196, 1), (3, 196, 1), (4, 2, 4), (5, 2, 4), (0, 2, 0), (7, 196, 1), (7, 2, 7), (0, 0, 0), (8, 0, 8)])
 
 
+def test_shingles_by_brute_force(docs):
+    """Sets as long as those of plain Python, equal where those are; ASCII white space and letters alone count."""
+
+    def plain(text):
+        w = text.encode().lower().split()
+        k = min(5, len(w))
+        return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if w else frozenset()
+
+    random.seed(5)
+    texts = [r.text or "" for r in docs.select("text").collect()]
+    texts += ["", " \t\r", "A\x0bB\x0cc d E f", "a b c d e f", "é\xa0b c", "É\xa0b c", "\x1ca\x85b", "x" * 64, "x" * 65, "x" * 64 + "\0", "x\0", "x", "0" * 200_000]
+    texts += [" ".join(random.choice(["a", "b", "B", "c" * 70]) for _ in range(random.randrange(9))) for _ in range(300)]
+    got = op10_jaccard.shingle_sets(texts)
+    assert [len(s) for s in got] == [len(plain(t)) for t in texts]
+    seen: dict = {}
+    assert all(seen.setdefault(plain(t), s.tobytes()) == s.tobytes() for t, s in zip(texts, got, strict=True)) and len(set(seen.values())) == len(seen)
+    assert all(np.array_equal(op10_jaccard.shingle_set(t), s) for t, s in zip(texts[-310:], got[-310:], strict=True))
+
+
 def test_ring_guarantee():
     """Linked sets agree on a part that isn't empty, at all sizes."""
     rng = np.random.default_rng(9)
