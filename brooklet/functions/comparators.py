@@ -6,6 +6,8 @@ import asyncio
 import inspect
 from dataclasses import dataclass
 
+from ..errors import carried
+
 
 @dataclass(frozen=True)
 class Comparator:
@@ -50,7 +52,8 @@ class Ranked:
         self.compare, self.item, self.at = compare, item, at
 
     def __lt__(self, other):
-        sign = three_way(self.compare, self.item, other.item)
+        with carried():
+            sign = three_way(self.compare, self.item, other.item)
         return sign < 0 or (sign == 0 and self.at < other.at)
 
     def __reduce__(self):

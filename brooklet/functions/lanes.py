@@ -1,6 +1,6 @@
 """Three lanes for callables: Column expressions, Python over Arrow batches, and async with bounded concurrency.
 
-A callable's lane is chosen once, when the step is added. Table sources try a plain function as a Column function of the
+A callable's lane is chosen when its step is lowered. Table sources try a plain function as a Column function of the
 element first; sources of Python values run it as Python, so that Python's own arithmetic holds.
 """
 
@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..errors import carried
+
 #: Calls in flight at once in the async lane.
 CONCURRENCY = 4
 
@@ -115,7 +117,13 @@ def truthy(c: Column, kind) -> Column:
 
 
 def called(fn, items: list, concurrency: int) -> list:
-    """Results of fn over items, in their order; awaitables run at most `concurrency` at once."""
+    """Results of fn over items, in their order; awaitables run at most `concurrency` at once. For executors: what fn
+    raises travels to the driver."""
+    with carried():
+        return results(fn, items, concurrency)
+
+
+def results(fn, items: list, concurrency: int) -> list:
     if not concurrency:
         out = [fn(x) for x in items]
         if not any(inspect.isawaitable(x) for x in out):

@@ -10,9 +10,11 @@ from __future__ import annotations
 import inspect
 from collections import namedtuple
 from dataclasses import dataclass, field
+from decimal import Decimal
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import PipelineBuildError
 from ..functions.comparators import Comparator, natural, three_way
@@ -39,10 +41,11 @@ def whole(element) -> Column:
 
 @dataclass(frozen=True)
 class Order:
-    """A group's encounter order: ascending key, and the same key turned round where it is a number."""
+    """A group's encounter order: ascending key, and the same key turned round where it is a number; frame: what both belong to."""
 
     up: Column
     down: Column | None = None
+    frame: DataFrame | None = None
 
 
 def ordered(value: Column, pos: Order) -> Column:
@@ -53,7 +56,8 @@ def ordered(value: Column, pos: Order) -> Column:
 class Collector:
     """A mutable reduction of one's own: supplier() -> container, accumulator(container, element), finisher(container).
 
-    The combiner is accepted and called only by unordered parallel collection; ordered collection is one left fold.
+    The combiner is called by unordered pipelines only, which fold each partition where it lies: combiner(a, b) gives the
+    result or puts b into a. Ordered collection is one left fold.
     """
 
     needs_order = True
@@ -128,16 +132,27 @@ def counting() -> Collector:
     return Native(lambda e, p: F.count(F.lit(1)), lambda: [0], lambda c, x: c.__setitem__(0, c[0] + 1), lambda c: c[0])
 
 
+def _wide(c: Column, p: Order) -> Column:
+    """Whole numbers as decimals, so that sums have 30 digits; anything else as it is."""
+    whole_ = p.frame is not None and isinstance(p.frame.select(c.alias("c")).schema["c"].dataType, T.IntegralType)
+    return c.cast("decimal(20,0)") if whole_ else c
+
+
+def _int(v):
+    """Decimals without a fraction digit are Python's ints."""
+    return int(v) if isinstance(v, Decimal) and v.as_tuple().exponent == 0 else v
+
+
 def _sum(mapper, cast, zero):
     def build(e, p):
         c = expr(mapper, e)
-        return F.coalesce(F.sum(c.cast(cast) if cast else c), F.lit(zero))
+        return F.coalesce(F.sum(c.cast(cast) if cast else _wide(c, p)), F.lit(zero))
 
     def add(c, x):
         v = mapper(x)
         c[0] += float(v) if cast == "double" else v
 
-    return Native(build, lambda: [zero], add, lambda c: c[0])
+    return Native(build, lambda: [zero], add, lambda c: c[0], convert=_int)
 
 
 def summing_int(mapper) -> Collector:
@@ -166,7 +181,7 @@ def _summary(mapper, cast):
     def build(e, p):
         c = expr(mapper, e)
         c = c.cast(cast) if cast else c
-        return F.struct(F.count(F.lit(1)).alias("count"), F.coalesce(F.sum(c), F.lit(0.0 if cast else 0)).alias("sum"), F.min(c).alias("min"), F.max(c).alias("max"), F.coalesce(F.avg(c), F.lit(0.0)).alias("average"))
+        return F.struct(F.count(F.lit(1)).alias("count"), F.coalesce(F.sum(c if cast else _wide(c, p)), F.lit(0.0 if cast else 0)).alias("sum"), F.min(c).alias("min"), F.max(c).alias("max"), F.coalesce(F.avg(c), F.lit(0.0)).alias("average"))
 
     def add(c, x):
         v = float(mapper(x)) if cast else mapper(x)
@@ -175,7 +190,7 @@ def _summary(mapper, cast):
         c[2] = v if c[2] is None or v < c[2] else c[2]
         c[3] = v if c[3] is None or v > c[3] else c[3]
 
-    return Native(build, lambda: [0, 0.0 if cast else 0, None, None], add, lambda c: SummaryStatistics(*c, float(c[1]) / c[0] if c[0] else 0.0), convert=lambda r: SummaryStatistics(*r))
+    return Native(build, lambda: [0, 0.0 if cast else 0, None, None], add, lambda c: SummaryStatistics(*c, float(c[1]) / c[0] if c[0] else 0.0), convert=lambda r: SummaryStatistics(*map(_int, r)))
 
 
 def summarizing_int(mapper) -> Collector:
@@ -298,7 +313,7 @@ class Grouping(Collector):
 
     def __init__(self, classifier, downstream, both: bool = False):
         if not isinstance(downstream, Collector):
-            raise PipelineBuildError("downstream must be a Collector")
+            raise PipelineBuildError("a collector is needed downstream")
         self.classifier, self.downstream, self.both = classifier, downstream, both
         super().__init__(dict, None)
 
@@ -328,7 +343,7 @@ def partitioning_by(predicate, downstream=None) -> Collector:
 
 def mapping(mapper, downstream) -> Collector:
     if not isinstance(downstream, Collector):
-        raise PipelineBuildError("downstream must be a Collector")
+        raise PipelineBuildError("a collector is needed downstream")
     start, add, end = downstream.fold()
     return Native(lambda e, p: downstream.column(expr(mapper, e), p), start, lambda c, x: add(c, mapper(x)), end, downstream.value, downstream.needs_order)
 
@@ -336,7 +351,7 @@ def mapping(mapper, downstream) -> Collector:
 def collecting_and_then(downstream, finisher) -> Collector:
     """finisher over the finished result: a Column function stays in the aggregate, anything else runs on the driver."""
     if not isinstance(downstream, Collector):
-        raise PipelineBuildError("downstream must be a Collector")
+        raise PipelineBuildError("a collector is needed downstream")
     start, add, end = downstream.fold()
 
     def build(e, p):

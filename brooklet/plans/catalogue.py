@@ -5,8 +5,11 @@ The inventory ids are those of the survey. Whole tables are read; limits occur o
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import functions as F
 
+from ..errors import PipelineStateError
 from ..functions import aio, by, py
 from ..operators import (
     Collector,
@@ -25,6 +28,7 @@ from ..operators import (
     summing_double,
     summing_int,
     to_collection,
+    to_generator,
     to_list,
     to_map,
     to_set,
@@ -223,7 +227,7 @@ def count(t):
 @query("SELECT 100 + coalesce(CAST(sum(l_linenumber) AS BIGINT), 0) AS r FROM lineitem")
 def reduce_identity_sum(t):
     """A2: a known associative operation is an aggregate."""
-    return t("lineitem").collect(summing_int(lambda x: x.l_linenumber.cast("long")), frame=True).select((F.col("r") + 100).alias("r"))
+    return t("lineitem").collect(summing_int(lambda x: x.l_linenumber.cast("long")), frame=True).select((F.col("r") + 100).cast("long").alias("r"))
 
 
 @query("SELECT max(event_id) AS r FROM events WHERE false")
@@ -248,7 +252,7 @@ def max_first_tied(t):
 
 @query("SELECT coalesce(CAST(sum(l_linenumber) AS BIGINT), 0) AS s FROM lineitem")
 def summing_long(t):
-    return named(t("lineitem").collect(summing_int(lambda x: x.l_linenumber), frame=True), r="s")
+    return t("lineitem").collect(summing_int(lambda x: x.l_linenumber), frame=True).select(F.col("r").cast("long").alias("s"))
 
 
 @query("SELECT CAST(coalesce(sum(CAST(l_extendedprice AS DECIMAL(18,2))), 0) AS DOUBLE) AS s FROM lineitem")
@@ -274,7 +278,7 @@ def averaging_empty(t):
 @query("SELECT count(1) AS n, coalesce(CAST(sum(p_size) AS BIGINT), 0) AS total, min(p_size) AS lo, max(p_size) AS hi, coalesce(round(avg(p_size), 6), 0.0) AS mean FROM part")
 def summarizing_ints(t):
     r = t("part").collect(summarizing_int(lambda p: p.p_size), frame=True)
-    return r.select(F.col("r.count").alias("n"), F.col("r.sum").alias("total"), F.col("r.min").alias("lo"), F.col("r.max").alias("hi"), F.round("r.average", 6).alias("mean"))
+    return r.select(F.col("r.count").alias("n"), F.col("r.sum").cast("long").alias("total"), F.col("r.min").alias("lo"), F.col("r.max").alias("hi"), F.round("r.average", 6).alias("mean"))
 
 
 @query("SELECT coalesce(CAST(sum(length(r_name)) AS BIGINT), 0) AS r FROM region")
@@ -409,6 +413,150 @@ def reduce_combiner(t):
     return _values([got], "long")
 
 
+@query("SELECT p_size AS v FROM part ORDER BY p_size LIMIT 30")
+def sorted_natural(t):
+    """O1: natural order of the elements."""
+    return t("part", "p_partkey").map(lambda p: p.p_size).sorted().limit(30).frame()
+
+
+@query("SELECT o_orderkey FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 7")
+def unordered_sorted_topk(t):
+    """L3: unordered() frees the source's order; a sort holds."""
+    return t("orders").unordered().sorted(by(lambda o: o.o_totalprice).then(lambda o: o.o_orderkey)).limit(7).map(lambda o: {"o_orderkey": o.o_orderkey}).frame()
+
+
+@query("SELECT list(s_suppkey ORDER BY s_acctbal DESC, s_suppkey) AS v FROM supplier")
+def parallel_sorted_iterator(t):
+    """L1, L4: sorted is global in parallel mode too."""
+    order = by(lambda s: s.s_acctbal, desc=True).then(lambda s: s.s_suppkey)
+    return _values([[s.s_suppkey for s in t("supplier", "s_suppkey").parallel().sorted(order).iterator()]], "array<long>")
+
+
+@query("SELECT event_id FROM events ORDER BY event_id OFFSET 40")
+def skip_only(t):
+    """O5: a skip without a limit."""
+    return t("events", "event_id").skip(40).map(lambda e: {"event_id": e.event_id}).unordered().frame()
+
+
+@query("SELECT list(n_name ORDER BY n_nationkey) AS v FROM nation")
+def to_array_ordered(t):
+    """A8."""
+    return _values([t("nation", "n_nationkey").map(lambda n: n.n_name).to_array()], "array<string>")
+
+
+@query("SELECT list(r_name ORDER BY r_regionkey) AS v FROM region")
+def to_generator_ordered(t):
+    """C21."""
+    return _values([list(t("region", "r_regionkey").map(lambda r: r.r_name).collect(to_generator))], "array<string>")
+
+
+@query("SELECT CAST(sum(l_linenumber) AS BIGINT) AS v FROM lineitem")
+def collect_combined(t):
+    """A6: supplier, accumulator and combiner; partitions fold apart."""
+
+    def add(c, x):
+        c[0] += x
+
+    def both(a, b):
+        a[0] += b[0]
+
+    return _values([t("lineitem").unordered().map(lambda x: x.l_linenumber).collect(lambda: [0], add, both)[0]], "long")
+
+
+@query("SELECT list(x ORDER BY x) AS v FROM (SELECT r_name AS x FROM region)")
+def for_each_any_order(t):
+    """L7."""
+    log: list = []
+    t("region").unordered().parallel().for_each(lambda r: log.append(r.r_name))
+    return _values([sorted(log)], "array<string>")
+
+
+@query("SELECT p_partkey * 10 + i AS v FROM part, (SELECT unnest([0, 1]) AS i) WHERE i < p_partkey % 3")
+def flat_map_python(t):
+    """P3, Python lane."""
+    return t("part", "p_partkey").flat_map(py(lambda p: [p.p_partkey * 10 + i for i in range(min(2, p.p_partkey % 3))], "long")).unordered().frame()
+
+
+@query("SELECT count(DISTINCT user_id % 97) AS n FROM events")
+def distinct_objects(t):
+    """U2 by Python's own equality."""
+    return t("events", "event_id").map(py(lambda e: (e.user_id % 97, "k"))).distinct().count(frame=True)
+
+
+@query("SELECT unnest(range(3, 33, 3)) AS v")
+def iterate_filter_limit(t):
+    """S8, T3: an endless source under a filter."""
+    return Pipeline.iterate(1, lambda x: x + 1).filter(lambda x: x % 3 == 0).limit(10).frame()
+
+
+@query("SELECT true AS v")
+def iterate_any_match(t):
+    return _values([Pipeline.iterate(1, lambda x: x * 2).any_match(lambda x: x > 1000)], "boolean")
+
+
+@query("SELECT unnest([0, 1, 4, 9]) AS v")
+def of_generator(t):
+    """S3: a generator without end, and S4: values with __next__ alone."""
+
+    class Next:
+        at = -1
+
+        def __next__(self):
+            self.at += 1
+            return self.at
+
+    one = Pipeline.of(Next()).map(py(lambda x: x * x, "long")).limit(2)
+    two = Pipeline.of(x for x in itertools.count(2)).flat_map(lambda x: [x * x]).limit(2)
+    return Pipeline.concat(one, two).frame()
+
+
+async def _feed():
+    for i in itertools.count():
+        yield i
+
+
+@query("SELECT unnest([1, 3, 5]) AS v")
+def of_async_feed(t):
+    """S5: an asynchronous feed without end."""
+    return Pipeline.of(_feed()).filter(lambda x: x % 2).limit(3).frame()
+
+
+@query("SELECT unnest(['abc', 'd', 'e']) AS v")
+def of_scalars(t):
+    """S1, S6, S7, S9."""
+    return Pipeline.concat(Pipeline.concat(Pipeline.of("abc"), Pipeline.empty()), Pipeline.builder().add("d").add("e").build()).frame()
+
+
+@query("SELECT 'ValueError' AS v")
+def exception_type(t):
+    """L9: a user's exception from an executor reaches the caller as it is."""
+
+    def bad(r):
+        raise ValueError("boom")
+
+    try:
+        t("region").map(py(bad, "long")).count()
+        for _ in t("region").map(py(bad, "long")).iterator():
+            pass
+    except Exception as e:
+        return _values([type(e).__name__], "string")
+
+
+@query("SELECT list(n_name ORDER BY n_nationkey) AS v FROM nation WHERE n_regionkey = 1")
+def life_cycle(t):
+    """L2, L5, L6: flags, close handlers in order, a reference serves once."""
+    log: list = []
+    p = t("nation", "n_nationkey").on_close(lambda: log.append("a")).on_close(lambda: log.append("b"))
+    q = p.parallel().sequential().filter(lambda n: n.n_regionkey == 1)
+    try:
+        p.count()
+    except PipelineStateError:
+        log.append("used")
+    names = [n.n_name for n in q.iterator()]
+    q.close()
+    return _values([names if log == ["used", "a", "b"] and not q.is_parallel() else []], "array<string>")
+
+
 def _values(values, kind: str):
     from ..sources import session
 

@@ -11,15 +11,20 @@ from dataclasses import dataclass, field
 
 from pyspark import cloudpickle
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import PipelineBuildError, PipelineStateError
+from ..errors import PipelineBuildError, PipelineStateError, carried, terminal, unwrapped
 from ..functions.comparators import Comparator, Ranked, natural
-from ..functions.lanes import Element, called, is_async, resolve, truthy
+from ..functions.lanes import Element, called, is_async, resolve, results, truthy
 from ..operators import collectors as C
-from ..sources.sources import POS, FrameSource, LocalSource, iterated, normalised, session
+from ..sources.sources import OWN, POS, FrameSource, LocalSource, iterated, normalised, session
+
+
+SIDE, HASH, AT, LAST = (f"{OWN}{x}" for x in ("side", "hash", "at", "last"))
+#: A skip of up to so many elements finds where to start by a top-k.
+SKIP_BY_KEY = 100_000
 
 
 @dataclass
@@ -55,7 +60,7 @@ class _State:
         """The order as one key; a reversed order is turned round where its columns are numbers."""
         if not self.order:
             zero = F.lit(0)
-            return C.Order(zero, zero)
+            return C.Order(zero, zero, self.df)
         kinds = {f.name: f.dataType for f in self.df.schema}
         up, down = [], []
         for n, d in self.order:
@@ -65,7 +70,7 @@ class _State:
             up.append(-F.col(n) if d else F.col(n))
             down.append((F.col(n) if d else -F.col(n)) if number else None)
         flat = len(up) == 1
-        return C.Order(up[0] if flat else F.struct(*up), None if any(x is None for x in down) else down[0] if flat else F.struct(*down))
+        return C.Order(up[0] if flat else F.struct(*up), None if any(x is None for x in down) else down[0] if flat else F.struct(*down), self.df)
 
 
 def _decoded(batch: pa.RecordBatch, kind: str, names) -> list:
@@ -113,7 +118,8 @@ class Pipeline:
         if isinstance(source, DataFrame):
             source = FrameSource(source, order_by)
         elif not isinstance(source, (FrameSource, LocalSource, _Concat)):
-            source = LocalSource(normalised(source))
+            known = hasattr(source, "__len__") or not (hasattr(source, "__iter__") or hasattr(source, "__next__") or hasattr(source, "__aiter__") or hasattr(source, "__anext__"))
+            source = LocalSource(normalised(source), lazy=not known)
         self._source, self._steps, self._shared = source, (), _Shared(list(close_handlers or ()))
         self._ordered, self._parallel, self._consumed = True, False, False
 
@@ -138,7 +144,7 @@ class Pipeline:
 
     @staticmethod
     def iterate(seed, step) -> Pipeline:
-        """seed, step(seed), ...: endless, pulled only as far as a limit asks."""
+        """seed, step(seed), ...: endless, pulled only as far as a limit, a find, a match or an iterator asks."""
         return Pipeline(LocalSource(iterated(seed, step), bounded=False))
 
     @staticmethod
@@ -247,12 +253,74 @@ class Pipeline:
                 limits.append(skipped + bound)
         return min(limits, default=None)
 
+    @property
+    def _sorts(self) -> bool:
+        """Whether a step sorts: its order holds in any mode; unordered() and parallel() free the source's order only."""
+        return any(name == "sorted" for name, *_ in self._steps)
+
     def _demand(self, last: bool) -> bool:
         """Whether the source has to give its order: the terminal asks for it, or a step does whose order isn't replaced."""
         return last or (self._ordered and any(name in ("limit", "skip") for name, *_ in self._steps))
 
+    def _pulled(self, stop: bool) -> bool:
+        """Whether the source is to be read in chunks: it is lazy, and a limit or (stop) the terminal may end it early."""
+        lazy = isinstance(self._source, LocalSource) and self._source.lazy and not self._shared.drained
+        before = [name for name, *_ in self._steps]
+        before = before[: before.index("sorted")] if "sorted" in before else before
+        return lazy and ("limit" in before or (stop and not self._sorts)) and self._bound(None) is None
+
+    def _chunks(self):
+        """Lists of this pipeline's elements, pulled no further than limits ask: steps that look at one element run as Spark
+        jobs over growing chunks, limit, skip and distinct count on the driver (what they keep is bounded by the limit)."""
+        self._check()
+        self._shared.drained = True
+        parts: list[list] = [[]]
+        for step in self._steps:
+            if step[0] in ("limit", "skip", "distinct"):
+                parts += [[step[0], step[1] if len(step) > 1 else set()], []]
+            else:
+                parts[-1].append(step)
+        if any(p and p[0] == "limit" and p[1] == 0 for p in parts):
+            return
+        with unwrapped():
+            for chunk in self._source.chunks():
+                ended = False
+                for part in parts:
+                    if part and part[0] == "limit":
+                        chunk, part[1] = chunk[: part[1]], part[1] - min(part[1], len(chunk))
+                        ended = ended or not part[1]
+                    elif part and part[0] == "skip":
+                        chunk, part[1] = chunk[part[1] :], part[1] - min(part[1], len(chunk))
+                    elif part and part[0] == "distinct":
+                        fresh = []
+                        for x in chunk:
+                            if x not in part[1]:
+                                part[1].add(x)
+                                fresh.append(x)
+                        chunk = fresh
+                    elif part and chunk:
+                        one = Pipeline(LocalSource(chunk))
+                        one._steps = tuple(part)
+                        chunk = list(one._items(True))
+                if chunk:
+                    yield chunk
+                if ended:
+                    return
+
+    def _taken(self) -> Pipeline:
+        """This pipeline with its source read in chunks up to its limits, and the steps from the first sort on still to do."""
+        names = [name for name, *_ in self._steps]
+        cut = names.index("sorted") if "sorted" in names else len(names)
+        head = Pipeline(self._source)
+        head._steps, head._shared = self._steps[:cut], self._shared
+        out = Pipeline(LocalSource([x for chunk in head._chunks() for x in chunk]))
+        out._steps, out._ordered, out._parallel = self._steps[cut:], self._ordered, self._parallel
+        return out
+
     def _lower(self, need_order: bool, more: int | None = None) -> _State:
         self._check()
+        if self._pulled(False):
+            return self._taken()._lower(need_order, more)
         if self._shared.drained and not isinstance(self._source, FrameSource):
             state = _State(session().createDataFrame([], f"{POS} long, v string"), "column", ((POS, False),), False)
         else:
@@ -322,7 +390,7 @@ class Pipeline:
 
     def _on_flat_map(self, state, mapper):
         lane = resolve(mapper, state.element, state.native)
-        inner = f"_i{len(state.order)}"
+        inner = f"{OWN}i{len(state.order)}"
         order = (*state.order, (inner, False)) if state.order else ()
         keys = [F.col(n) for n, _ in state.order]
         if lane[0] == "column":
@@ -339,7 +407,9 @@ class Pipeline:
         def each(items):
             rows, at, values = [], [], []
             for i, x in enumerate(items):
-                for k, v in enumerate(_inner(fn(x))):
+                with carried():
+                    inner_items = list(_inner(fn(x)))
+                for k, v in enumerate(inner_items):
                     rows.append(i)
                     at.append(k)
                     values.append(v if returns else cloudpickle.dumps(v))
@@ -362,7 +432,7 @@ class Pipeline:
     def _on_distinct(self, state):
         names = state.names
         if state.kind == "pickle":
-            return self._folded(state, _first_seen)
+            return self._distinct_objects(state)
         if any(isinstance(state.df.schema[n].dataType, (T.MapType, T.VariantType)) for n in names):
             raise TypeError("elements with maps can't be compared")
         if not state.order:
@@ -371,10 +441,8 @@ class Pipeline:
             out = state.df.groupBy(*names).agg(F.min(state.key().up).alias(POS))
             return _State(out, state.kind, ((POS, False),), state.native)
         except C.NotNative:
-            from pyspark.sql import Window
-
             w = Window.partitionBy(*names).orderBy(*(F.col(n).desc() if d else F.col(n).asc() for n, d in state.order))
-            out = state.df.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
+            out = state.df.withColumn(f"{OWN}rank", F.row_number().over(w)).where(F.col(f"{OWN}rank") == 1).drop(f"{OWN}rank")
             return _State(out, state.kind, state.order, state.native)
 
     def _on_sorted(self, state, comparator, reverse):
@@ -385,7 +453,7 @@ class Pipeline:
                 got = F.struct(*state.names) if state.kind == "record" and comparator is natural else self._key(selector, state)
                 if got is None:
                     break
-                name = f"_k{len(state.order)}_{i}"
+                name = f"{OWN}k{len(state.order)}_{i}"
                 keys.append((name, got))
                 order.append((name, desc != reverse))
             else:
@@ -413,23 +481,57 @@ class Pipeline:
         return lane[1] if lane[0] == "column" else None
 
     def _on_limit(self, state, n):
-        return _State((state.sort() if self._ordered else state.df).limit(n), state.kind, state.order, state.native)
+        return _State((state.sort() if self._ordered or self._sorts else state.df).limit(n), state.kind, state.order, state.native)
 
     def _on_skip(self, state, n):
+        """Above the key of the n-th element, which a top-k finds, so that no task has to see all rows. Where the order has
+        no unique key of one direction, or the top-k were large, an offset into the sorted rows."""
         if not n:
             return state
-        return _State((state.sort() if self._ordered else state.df).offset(n), state.kind, state.order, state.native)
+        unique = any(n == POS for n, _ in state.order)
+        if unique and n <= SKIP_BY_KEY:
+            try:
+                key = state.key().up
+                top = state.df.select(key.alias(AT)).orderBy(AT).limit(n)
+                last = top.agg(F.max(AT).alias(LAST), F.count(F.lit(1)).alias(f"{OWN}n")).where(F.col(f"{OWN}n") == n).select(LAST)
+                kept = state.df.join(F.broadcast(last), key > F.col(LAST)).drop(LAST)
+                return _State(kept, state.kind, state.order, state.native)
+            except C.NotNative:
+                pass
+        return _State((state.sort() if self._ordered or self._sorts else state.df).offset(n), state.kind, state.order, state.native)
 
-    def _folded(self, state, fn) -> _State:
-        """fn(iterator of elements) -> kept positions, over one ordered partition: the only way for opaque equality."""
-        kind, names = state.kind, state.names
+    def _distinct_objects(self, state) -> _State:
+        """Python's own equality: elements meet by their hash; each batch gives the first of equal ones only, so a common
+        element makes a group of one row a batch. Workers share a hash seed, as Spark sets it."""
+        kind, names, keys = state.kind, state.names, [n for n, _ in state.order]
 
-        def run(batches):
-            for batch, keep in fn(batches, lambda b: _decoded(b, kind, names)):
-                yield batch.filter(pa.array(keep, pa.bool_()))
+        def hashed(batches):
+            for batch in batches:
+                with carried():
+                    seen: dict = {}
+                    for i, x in enumerate(_decoded(batch, kind, names)):
+                        seen.setdefault(x, i)  # rows of a batch are in encounter order
+                    found = [hash(x) for x in seen]
+                kept = batch.take(pa.array(list(seen.values()), pa.int64()))
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(found, pa.int64())], names=[*kept.schema.names, HASH])
+
+        schema = T.StructType([*state.df.schema.fields, T.StructField(HASH, T.LongType())])
+        rows = state.df.sortWithinPartitions(*(F.col(n).desc() if d else F.col(n).asc() for n, d in state.order)) if state.order else state.df
+        order = [(n, "descending" if d else "ascending") for n, d in state.order]
+        if any(isinstance(state.df.schema[k].dataType, T.StructType) for k in keys):  # Arrow doesn't sort by structs
+            at = F.row_number().over(Window.partitionBy(HASH).orderBy(*(F.col(n).desc() if d else F.col(n).asc() for n, d in state.order)))
+            rows, order, extra = rows.mapInArrow(hashed, schema).withColumn(AT, at), [(AT, "ascending")], [AT]
+        else:
+            rows, extra = rows.mapInArrow(hashed, schema), []
+
+        def first(t: pa.Table) -> pa.Table:
+            t = (t.sort_by(order) if order else t).drop_columns([HASH, *extra])
+            seen: dict = {}
+            for i, x in enumerate(cloudpickle.loads(v) for v in t.column("v").to_pylist()):
+                seen.setdefault(x, i)
+            return t.take(pa.array(list(seen.values()), pa.int64()))
 
-        one = state.df.repartition(1).sortWithinPartitions(*(F.col(n).desc() if d else F.col(n).asc() for n, d in state.order)) if state.order else state.df.repartition(1)
-        return _State(one.mapInArrow(run, state.df.schema), state.kind, state.order, state.native)
+        return _State(rows.groupBy(HASH).applyInArrow(first, state.df.schema), kind, state.order, state.native)
 
     # Pulling out
 
@@ -439,24 +541,30 @@ class Pipeline:
         return state.sort().select(*state.names)
 
     def _items(self, need_order: bool, more: int | None = None):
-        state = self._lower(need_order, more)
-        names, kind = state.names, state.kind
-        rows = (state.sort() if need_order else state.df).select(*names)
-        for row in (rows if more is None else rows.limit(more)).toLocalIterator(prefetchPartitions=False):
-            yield cloudpickle.loads(row["v"]) if kind == "pickle" else row["v"] if kind == "column" else row
+        if self._pulled(True) and (more is None or self._bound(more) is None):
+            for chunk in self._chunks():
+                yield from chunk
+            return
+        with unwrapped():
+            state = self._lower(need_order, more)
+            names, kind = state.names, state.kind
+            rows = (state.sort() if need_order or self._sorts else state.df).select(*names)
+            for row in (rows if more is None else rows.limit(more)).toLocalIterator(prefetchPartitions=False):
+                yield cloudpickle.loads(row["v"]) if kind == "pickle" else row["v"] if kind == "column" else row
 
     def iterator(self):
+        """Elements on the driver, pulled as they are asked for; in encounter order unless parallel, and sorted if a step sorts."""
         self._check()
         return self._items(self._ordered and not self._parallel)
 
     def for_each(self, consumer) -> None:
         """consumer(element) on the driver, in encounter order unless parallel; async consumers are awaited one by one."""
         for x in self.iterator():
-            called(consumer, [x], 0)
+            results(consumer, [x], 0)
 
     def for_each_ordered(self, consumer) -> None:
         for x in self._items(True):
-            called(consumer, [x], 0)
+            results(consumer, [x], 0)
 
     def for_each_partition(self, consumer) -> None:
         """consumer(iterator of elements) on the executors, once a partition and attempt."""
@@ -464,63 +572,85 @@ class Pipeline:
         names, kind = state.names, state.kind
 
         def run(rows):
-            consumer(cloudpickle.loads(r["v"]) if kind == "pickle" else r["v"] if kind == "column" else r for r in rows)
+            with carried():
+                consumer(cloudpickle.loads(r["v"]) if kind == "pickle" else r["v"] if kind == "column" else r for r in rows)
 
-        state.df.select(*names).foreachPartition(run)
+        with unwrapped():
+            state.df.select(*names).foreachPartition(run)
 
     # Terminals
 
+    @terminal
     def count(self, frame: bool = False):
         df = self._lower(False).df.agg(F.count(F.lit(1)).alias("n"))
         return df if frame else df.first()[0]
 
+    @terminal
     def reduce(self, *args, frame: bool = False):
         """reduce(acc) or reduce(identity, acc): an ordered left fold; reduce(identity, acc, combiner) folds each partition
         and combines the parts where the pipeline is unordered, and is reduce(identity, acc) otherwise."""
         if len(args) == 3:
-            if not self._ordered:
-                return self._partial(*args)
+            if not self._ordered and not self._sorts:
+                identity, acc, combiner = args
+                return self._partial(lambda: identity, acc, combiner)
             args = args[:2]
         if not 1 <= len(args) <= 2:
             raise TypeError("reduce takes an accumulator, an identity and an accumulator, or these and a combiner")
         return self.collect(C.reducing(*args), frame=frame)
 
-    def _partial(self, identity, acc, combiner):
+    def _partial(self, start, acc, combiner):
+        """start() folded over each partition by acc(total, element) on the executors, the parts by combiner on the driver."""
         state = self._lower(False)
         kind, names = state.kind, state.names
 
         def run(batches):
-            total = identity
+            total = start()
             for batch in batches:
-                for x in _decoded(batch, kind, names):
-                    total = acc(total, x)
+                with carried():
+                    for x in _decoded(batch, kind, names):
+                        total = acc(total, x)
             yield pa.RecordBatch.from_pydict({"v": pa.array([cloudpickle.dumps(total)], pa.binary())})
 
-        parts = state.df.select(*names).mapInArrow(run, "v binary").collect()
-        return functools.reduce(combiner, (cloudpickle.loads(r.v) for r in parts), identity)
+        parts = state.df.select(*names).mapInArrow(run, "v binary").toLocalIterator()
+        return functools.reduce(combiner, (cloudpickle.loads(r.v) for r in parts), start())
 
+    @terminal
     def min(self, comparator=None, frame: bool = False):
         return self.collect(C.min_by(comparator), frame=frame)
 
+    @terminal
     def max(self, comparator=None, frame: bool = False):
         return self.collect(C.max_by(comparator), frame=frame)
 
+    @terminal
     def to_array(self) -> list:
         return self.collect(C.to_list())
 
+    @terminal
     def find_first(self, frame: bool = False):
         return self._found(self._ordered, frame)
 
+    @terminal
     def find_any(self, frame: bool = False):
         return self._found(False, frame)
 
     def _found(self, need_order: bool, frame: bool):
         if frame:
             state = self._lower(need_order, 1)
-            return (state.sort() if need_order else state.df).select(*state.names).limit(1)
-        return next(self._items(need_order, 1), None)
+            return (state.sort() if need_order or self._sorts else state.df).select(*state.names).limit(1)
+        items = self._items(need_order, 1)
+        try:
+            return next(items, None)
+        finally:
+            items.close()
 
     def _match(self, predicate, negate: bool, frame: bool, build):
+        if not frame and self._pulled(True):
+            hits = self._derive("map", predicate)._chunks()
+            try:
+                return any(bool(x) != negate for chunk in hits for x in chunk)
+            finally:
+                hits.close()
         state = self._lower(False)
         lane = resolve(predicate, state.element, state.native)
         if lane[0] == "column":
@@ -545,26 +675,30 @@ class Pipeline:
             return found.agg((~hit if negate else hit).alias("r"))
         return not found.isEmpty()
 
+    @terminal
     def any_match(self, predicate, frame: bool = False):
         """False on empty."""
         return self._match(predicate, False, frame, lambda hit: F.coalesce(F.bool_or(hit), F.lit(False)))
 
+    @terminal
     def all_match(self, predicate, frame: bool = False):
         """True on empty."""
         got = self._match(predicate, True, frame, lambda hit: F.coalesce(F.bool_and(hit), F.lit(True)))
         return got if frame else not got
 
+    @terminal
     def none_match(self, predicate, frame: bool = False):
         """True on empty."""
         if frame:
             return self.any_match(predicate, frame=True).select((~F.col("r")).alias("r"))
         return not self._match(predicate, False, False, None)
 
+    @terminal
     def collect(self, collector, accumulator=None, combiner=None, frame: bool = False):
         """collect(Collector), collect(to_generator), or collect(supplier, accumulator, combiner).
 
         Column collectors compile to one aggregation; the others fold on the driver, in encounter order, over rows that
-        stream in partition by partition. With frame=True: a one-row DataFrame (`r`), or a row (`k`..., `r`) for each key.
+        stream in partition by partition. An unordered pipeline with a combiner folds each partition on its executor. With frame=True: a one-row DataFrame (`r`), or a row (`k`..., `r`) for each key.
         """
         if isinstance(collector, C._ToGenerator):
             return self.iterator()
@@ -581,6 +715,8 @@ class Pipeline:
                 if frame:
                     raise PipelineBuildError("this collector has opaque parts; it gives no frame") from None
         supplier, add, finisher = collector.fold()
+        if type(collector) is C.Collector and collector.combiner and not self._ordered and not self._sorts:
+            return _settle(finisher(got)) if (got := self._partial(supplier, _added(add), _merged(collector.combiner))) is not None and finisher else got
         container = _settle(supplier())
         for x in self._items(self._ordered):
             _settle(add(container, x))
@@ -630,6 +766,24 @@ class Pipeline:
         return _filled(result, [b for _, b in keys], empty)
 
 
+def _added(add):
+    def run(container, x):
+        _settle(add(container, x))
+        return container
+
+    return run
+
+
+def _merged(combiner):
+    """combiner(a, b) may give the result or put b into a."""
+
+    def run(a, b):
+        got = _settle(combiner(a, b))
+        return a if got is None else got
+
+    return run
+
+
 def _filled(result: dict, both: list[bool], empty):
     """Partitions get both keys, in the order True, False."""
     if not both:
@@ -664,16 +818,6 @@ def _inner(got):
     return normalised(got)
 
 
-def _first_seen(batches, decode):
-    seen: set = set()
-    for batch in batches:
-        keep = []
-        for x in decode(batch):
-            keep.append(x not in seen)
-            seen.add(x)
-        yield batch, keep
-
-
 class _Concat:
     """Two pipelines one after the other; b is lowered after a."""
 
@@ -686,7 +830,7 @@ class _Concat:
         self.native = a._source.native and b._source.native
 
     def state(self, need: bool) -> _State:
-        sides = [p._lower(need and p._ordered) for p in (self.a, self.b)]
+        sides = [p._lower(need and (p._ordered or p._sorts)) for p in (self.a, self.b)]
         if {s.kind for s in sides} != {sides[0].kind} or (sides[0].kind == "column" and len({s.df.schema["v"].dataType for s in sides}) > 1):
             sides = [_pickled(s) for s in sides]
         out = []
@@ -694,14 +838,14 @@ class _Concat:
             df = s.df.select(*s.names)
             if need:
                 key = s.key().up
-                df = s.df.select(*s.names, F.lit(i).alias("_side"), key.alias(POS))
+                df = s.df.select(*s.names, F.lit(i).alias(SIDE), key.alias(POS))
             out.append(df)
         if need and out[0].schema[POS].dataType != out[1].schema[POS].dataType:
-            out = [d.withColumn(f"_p{i}", F.col(POS)).drop(POS) for i, d in enumerate(out)]
+            out = [d.withColumn(f"{OWN}p{i}", F.col(POS)).drop(POS) for i, d in enumerate(out)]
             both = out[0].unionByName(out[1], allowMissingColumns=True)
-            return _State(both, sides[0].kind, (("_side", False), ("_p0", False), ("_p1", False)), self.native)
+            return _State(both, sides[0].kind, ((SIDE, False), (f"{OWN}p0", False), (f"{OWN}p1", False)), self.native)
         both = out[0].unionByName(out[1])
-        return _State(both, sides[0].kind, (("_side", False), (POS, False)) if need else (), self.native)
+        return _State(both, sides[0].kind, ((SIDE, False), (POS, False)) if need else (), self.native)
 
 
 def _pickled(s: _State) -> _State:

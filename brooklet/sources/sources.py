@@ -14,7 +14,9 @@ from ..errors import PipelineBuildError
 
 #: Scalar Python types and the column types that carry them unchanged; all else travels pickled.
 PLAIN = {int: "long", float: "double", str: "string", bool: "boolean", bytes: "binary"}
-POS = "_pos"
+#: Beginning of the names of order keys and the like; no table may have such columns.
+OWN = "__brooklet_"
+POS = f"{OWN}pos"
 
 
 def session() -> SparkSession:
@@ -66,6 +68,8 @@ class FrameSource:
     def __init__(self, df: DataFrame, order_by=None):
         self.df, self.order_by = df, [order_by] if isinstance(order_by, str) else list(order_by or ())
         self.names = df.columns
+        if taken := [c for c in df.columns if c.startswith(OWN)]:
+            raise PipelineBuildError(f"rename the columns {taken}: names that begin with {OWN} are taken")
 
     def frame(self, pos: bool, bound: int | None = None):
         """(DataFrame, kind); pos is added only where a step or terminal needs it, as Catalyst can't remove it again."""
@@ -82,12 +86,35 @@ class FrameSource:
 
 
 class LocalSource:
-    """Python values. They are pulled once; with a known bound no more than that are pulled."""
+    """Python values. They are pulled once; with a known bound no more than that are pulled. lazy: pulled from a generator,
+    an iterator or a feed, whose end may be far or nowhere; endless ones aren't bounded."""
 
     native = False
 
-    def __init__(self, items, bounded: bool = True):
-        self.items, self.bounded = items, bounded
+    def __init__(self, items, bounded: bool = True, lazy: bool = False):
+        self.items, self.bounded, self.lazy = items, bounded, lazy or not bounded
+
+    def chunks(self, first: int = 16, most: int = 8192):
+        """Lists of elements, each twice as long as the one before. What the source raises comes after what it gave before."""
+        size = first
+        try:
+            while True:
+                out, failed = [], None
+                try:
+                    for x in itertools.islice(self.items, size):
+                        out.append(x)
+                except Exception as e:
+                    failed = e
+                if out:
+                    yield out
+                if failed is not None:
+                    raise failed
+                if len(out) < size:
+                    return
+                size = min(2 * size, most)
+        finally:
+            if hasattr(self.items, "close"):
+                self.items.close()
 
     def pull(self, bound: int | None) -> list:
         if bound is None and not self.bounded:

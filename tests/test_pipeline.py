@@ -68,6 +68,109 @@ def test_result_does_not_depend_on_partitions(spark, parts):
     assert Pipeline.from_table(df, "id").map(lambda e: e.k).distinct().to_array() == list(range(7))
 
 
+@pytest.mark.parametrize("parts", [1, 3, 16])
+def test_sorts_hold_in_any_mode(spark, parts):
+    df = spark.range(60).selectExpr("id", "(id * 17) % 60 AS k").repartition(parts)
+    t = lambda: Pipeline.from_table(df, "id")
+    key = by(lambda e: e.k)
+    for p in (lambda: t().unordered(), lambda: t().parallel(), lambda: t().parallel().unordered()):
+        assert [e.k for e in p().sorted(key).iterator()] == list(range(60))
+        assert p().sorted(key).limit(5).map(lambda e: e.k).to_array() == [0, 1, 2, 3, 4]
+        assert p().sorted(key).skip(57).map(lambda e: e.k).to_array() == [57, 58, 59]
+        assert p().sorted(key).find_first().k == 0
+        seen = []
+        p().sorted(key).for_each(lambda e: seen.append(e.k))  # noqa: B023
+        assert seen == list(range(60))
+    assert [e.k for e in Pipeline.from_table(df, "id").sorted(key).unordered().frame().collect()] == list(range(60))
+    assert Pipeline.of([3, 1, 2]).unordered().sorted().to_array() == [1, 2, 3]
+    assert list(Pipeline.of([3, 1, 2]).parallel().sorted().iterator()) == [1, 2, 3]
+    assert list(Pipeline.of([3, 1, 2]).parallel().sorted(lambda a, b: b - a).iterator()) == [3, 2, 1]
+    for n in (0, 1, 59, 60, 99):
+        assert t().skip(n).map(lambda e: e.id).to_array() == list(range(60))[n:]
+    gone = Pipeline.from_table(df, "id").map(py(lambda e: (e.k % 7, "x"))).distinct().to_array()
+    assert gone == list(dict.fromkeys(((i * 17) % 60 % 7, "x") for i in range(60)))
+
+
+def _counted(items, log):
+    for x in items:
+        log.append(x)
+        yield x
+
+
+def test_endless_sources_are_pulled_as_far_as_needed():
+    import itertools
+
+    pulled = []
+    assert Pipeline.of(_counted(itertools.count(), pulled)).filter(lambda x: x % 5 == 4).limit(3).to_array() == [4, 9, 14]
+    assert len(pulled) <= 16
+    assert Pipeline.iterate(1, lambda x: x + 1).filter(lambda x: x % 100 == 0).find_first() == 100
+    assert Pipeline.iterate(1, lambda x: x + 1).any_match(lambda x: x > 40) and not Pipeline.iterate(1, lambda x: x + 1).all_match(lambda x: x < 40)
+    assert not Pipeline.iterate(1, lambda x: x + 1).none_match(lambda x: x == 40)
+    it = Pipeline.iterate((0, 1), lambda s: (s[1], s[0] + s[1])).map(lambda s: s[0]).collect(C.to_generator)
+    assert [next(it) for _ in range(10)] == [0, 1, 1, 2, 3, 5, 8, 13, 21, 34]
+    it.close()
+    assert Pipeline.of(itertools.count()).map(lambda x: x % 4).distinct().skip(1).limit(3).to_array() == [1, 2, 3]
+    assert Pipeline.of(itertools.count()).flat_map(lambda x: [x] * x).limit(4).sorted(reverse=True).limit(2).to_array() == [3, 2]
+    assert Pipeline.of(itertools.count()).filter(lambda x: True).limit(0).to_array() == []
+    assert Pipeline.of(itertools.count()).filter(lambda x: x > 3).limit(7).count() == 7
+
+    def failing():
+        yield from range(20)
+        raise ValueError("boom")
+
+    assert Pipeline.of(failing()).filter(lambda x: x > 2).limit(3).to_array() == [3, 4, 5]
+    with pytest.raises(ValueError, match="boom"):
+        Pipeline.of(failing()).filter(lambda x: x > 2).limit(30).to_array()
+    closed = []
+
+    def closing():
+        try:
+            yield from itertools.count()
+        finally:
+            closed.append(True)
+
+    assert Pipeline.of(closing()).filter(lambda x: x > 2).find_first() == 3 and closed == [True]
+    with pytest.raises(PipelineBuildError):
+        Pipeline.iterate(0, lambda x: x + 1).filter(lambda x: True).sorted().limit(3).to_array()
+
+
+def test_exceptions_reach_the_caller_as_they_are(spark):
+    class Own(Exception):
+        pass
+
+    def bad(x):
+        if x == 3:
+            raise Own("boom", x)
+        return x
+
+    async def slow(x):
+        raise KeyError(x)
+
+    for run in (
+        lambda p: p.map(bad).to_array(), lambda p: p.filter(bad).count(), lambda p: p.flat_map(bad).to_array(), lambda p: p.peek(bad).count(),
+        lambda p: p.any_match(lambda x: bad(x) > 9), lambda p: list(p.map(bad).iterator()), lambda p: p.for_each(bad), lambda p: p.unordered().reduce(0, lambda a, x: a + bad(x), lambda a, b: a + b),
+    ):
+        with pytest.raises(Own) as e:
+            run(Pipeline.of([1, 2, 3, 4]))
+        assert e.value.args == ("boom", 3)
+    with pytest.raises(KeyError):
+        Pipeline.of([1]).map(slow).to_array()
+    with pytest.raises(TypeError):
+        Pipeline.of([2, 1, 3]).sorted(lambda a, b: a < b).to_array()
+
+
+def test_wide_sums_and_own_names(spark):
+    big = spark.createDataFrame([(1 << 62, 1), (1 << 62, 2)], "v long, id long")
+    assert Pipeline.from_table(big, "id").collect(C.summing_long(lambda e: e.v)) == 1 << 63
+    assert Pipeline.from_table(big, "id").collect(C.summarizing_long(lambda e: e.v)).sum == 1 << 63
+    odd = spark.createDataFrame([(1, 7), (2, 8)], "id long, _pos long")
+    assert [r._pos for r in Pipeline.from_table(odd, "id").sorted(by(lambda e: -e.id)).iterator()] == [8, 7]
+    with pytest.raises(PipelineBuildError):
+        Pipeline.from_table(spark.range(1).withColumnRenamed("id", "__brooklet_pos"))
+    got = Pipeline.from_table(spark.range(50), "id").unordered().map(lambda e: e.id).collect(list, lambda c, x: c.append(x), lambda a, b: a.extend(b))
+    assert sorted(got) == list(range(50))
+
+
 def test_terminals_on_empty_and_ties():
     e = Pipeline.empty
     assert (e().count(), e().min(), e().max(), e().find_first(), e().find_any()) == (0, None, None, None, None)
@@ -155,3 +258,5 @@ def test_plans(spark):
     assert "Sort" not in plan and "row_index" not in plan and "PushedFilters: [IsNotNull(l_quantity), GreaterThan(l_quantity,25.0)]" in plan
     orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
     assert "TakeOrderedAndProject" in text(Pipeline.from_table(orders, "o_orderkey").sorted(by(lambda o: o.o_totalprice)).limit(5).frame())
+    rows = text(Pipeline.from_table(orders, "o_orderkey").skip(9).map(py(lambda o: (o.o_custkey % 5,))).distinct().count(frame=True))
+    assert "GlobalLimit" not in rows and "CollectLimit" not in rows and rows.count("SinglePartition") <= 2  # the total, and the one row of the skip
