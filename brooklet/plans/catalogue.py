@@ -524,7 +524,7 @@ def of_async_feed(t):
 @query("SELECT unnest(['abc', 'd', 'e']) AS v")
 def of_scalars(t):
     """S1, S6, S7, S9."""
-    return Pipeline.concat(Pipeline.concat(Pipeline.of("abc"), Pipeline.empty()), Pipeline.builder().add("d").add("e").build()).frame()
+    return Pipeline.concat(Pipeline.concat(Pipeline.of("abc"), Pipeline.empty()), Pipeline.builder().add("d").add("e").build()).map(py(lambda s: s, "string")).frame().select("v")
 
 
 @query("SELECT 'ValueError' AS v")
