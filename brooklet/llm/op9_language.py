@@ -64,9 +64,10 @@ def train(docs: DataFrame, per_language: int = 400) -> bytes:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & ~held_out())
-    number = rows.groupBy("lang").agg(F.approx_count_distinct("doc_id", 0.02).alias("ids"))
+    number = stored(rows.groupBy("lang").agg(F.approx_count_distinct("doc_id", 0.02).alias("ids")), "languages")
     # Hashes below a bound that per_language ids of a language reach (but for one time in a billion); so the ranking sees
-    # few rows of each language, however many it has.
+    # few rows of each language, however many it has. The table of languages is stored so that Spark knows its size, and
+    # sends it to the rows instead of dealing them by language while it is small.
     share = 1.15 * (per_language + 6 * per_language**0.5 + 30) / F.col("ids")
     low = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).join(number, "lang")
     low = low.where(F.col("doc_id").isNotNull() & (F.col("h").cast("double") <= share * 2.0**64 - 2.0**63)).select("doc_id", "lang", "h").distinct()
