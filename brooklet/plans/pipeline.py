@@ -351,7 +351,8 @@ class Pipeline:
                 rows, columns = each(_decoded(batch, kind, names))
                 kept = [batch.column(k).take(pa.array(rows, pa.int64())) for k in keys]
                 own = [pa.array(c, arrow.field(len(keys) + i).type) for i, c in enumerate(columns)]
-                yield pa.RecordBatch.from_arrays([k.cast(arrow.field(i).type) for i, k in enumerate(kept)] + own, schema=arrow)
+                kept = [k if pa.types.is_nested(k.type) else k.cast(arrow.field(i).type) for i, k in enumerate(kept)]
+                yield pa.RecordBatch.from_arrays(kept + own, names=arrow.names)
 
         return state.df.select(*keys, *names).mapInArrow(run, full)
 
@@ -858,6 +859,6 @@ def _pickled(s: _State) -> _State:
     def run(batches):
         for batch in batches:
             own = pa.array([cloudpickle.dumps(x) for x in _decoded(batch, kind, names)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), own], schema=arrow)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), own], names=arrow.names)
 
     return _State(s.df.select(*keys, *names).mapInArrow(run, schema), "pickle", s.order, False)
