@@ -57,6 +57,10 @@ class ChunkEncoder:
         self.lower = self.whole("A") == self.whole("a")  # the family that lower-cases also drops white space
         self.lead = "" if self.lower else " "
 
+    def forget(self) -> None:
+        self.cache.clear()
+        self.tails.clear()
+
     def whole(self, text: str) -> bytes:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 

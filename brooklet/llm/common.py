@@ -126,6 +126,19 @@ class Cache(dict):
         return value
 
 
+_filled: list = []
+
+
+def only(owner=None):
+    """Called by a task before it fills the caches of owner: what other operators keep in this Python process goes, as
+    workers outlive their stage."""
+    for other in _filled:
+        if other is not owner:
+            other.forget()
+    _filled[:] = [owner] if owner is not None else []
+    return owner
+
+
 def held_out(doc_id: str = "doc_id"):
     """Column: crc32 of the id as text, modulo 4, is 2. A null id is not held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import batches
-from .common import components, discard, stored, tables
+from .common import components, discard, only, stored, tables
 
 U = np.uint64
 SIZE = 5
@@ -206,6 +206,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 def _slices(rows, size: int = 500):
     """The batches of rows, cut: what a task holds beside a batch doesn't grow with its rows."""
+    only()
     for batch in rows:
         for at in range(0, batch.num_rows, size):
             yield batch.slice(at, size)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import batches, encoder
-from .common import removed, shared_dir, stored, tables
+from .common import only, removed, shared_dir, stored, tables
 
 #: Size of the input, as Spark estimates it, for each file.
 PART_BYTES = 32 << 20
@@ -84,7 +84,7 @@ def write_records(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
         where, base = fs.FileSystem.from_uri(folder)
         where.create_dir(base, recursive=True)
         part, name, out, marks, at, tokens, n = TaskContext.get().partitionId(), "", None, None, 0, 0, 0
-        enc, end = encoder(tokenizer_path), np.array([end_id], dtype="<u4").tobytes()
+        enc, end = only(encoder(tokenizer_path)), np.array([end_id], dtype="<u4").tobytes()
         for batch in rows:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in batches(texts):

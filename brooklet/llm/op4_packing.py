@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chunks import batches, encoder
-from .common import stored
+from .common import only, stored
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
 
@@ -25,7 +25,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, cap: int = 2048, end_id: int =
     """Pieces of every document's ids and end id; null text is empty. ids (little-endian uint32) are null unless asked for."""
 
     def cut(rows):
-        enc, end = encoder(tokenizer_path), np.array([end_id], dtype="<u4").tobytes()
+        enc, end = only(encoder(tokenizer_path)), np.array([end_id], dtype="<u4").tobytes()
         schema = pa.schema([(k, pa.int64()) for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")] + [("ids", pa.binary())])
         for batch in rows:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, held_out, stored
+from .common import Cache, held_out, only, stored
 
 EDGES = "\"'`“”„«»‘’()[]{}<>.,;:!?…%&*#$-_/\\|~^+="
 QUOTES = "\"“”„«»"
@@ -90,6 +90,9 @@ class Scorer:
         bare = [t.rstrip("*") for t in terms]
         self.heads, self.inner, self.least = {t[:2] for t in bare}, {t[2:5] for t in bare}, min(map(len, bare), default=0)
 
+    def forget(self) -> None:
+        self.words.clear()
+
     def look(self, raw: str) -> tuple[str, int] | bool:
         word = raw.strip(EDGES)
         if len(word) < self.least - 1 or not self.least:
@@ -243,7 +246,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 8000) -> bytes:
     return pickle.dumps((terms, _logistic(x, y, k, n.sum())))
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def _scorer(key: int, model: bytes) -> Scorer:
     return Scorer(*pickle.loads(model))
 
@@ -257,7 +260,7 @@ def score(docs: DataFrame, model: bytes, threshold: float = 0.3) -> DataFrame:
     sent, key = docs.sparkSession.sparkContext.broadcast(model), zlib.crc32(model)
 
     def run(rows):
-        own = _scorer(key, sent.value)
+        own = only(_scorer(key, sent.value))
         for batch in rows:
             got = [own.score(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(got, pa.float64()), pa.array([int(g >= threshold) for g in got], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, stored
+from .common import Cache, only, stored
 
 EDGES = "\"'`“”„«»‘’()[]{}<>.,;:!?…%&*#$-_/\\|~^+="
 BLOCK = 8
@@ -163,6 +163,9 @@ class Benchmark:
         idf = {w: float(np.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5))) for w in self.terms}
         self.indexes = [Index(own[k], self.terms, idf, mean, longest[k]) for k in sorted(own)]
 
+    def forget(self) -> None:
+        self.words.clear()
+
     def look(self, text: str) -> np.ndarray:
         """Term numbers of the words of text, 0 where no item has them; words of marks alone are left out."""
         raw = text.lower().split()
@@ -256,7 +259,7 @@ def _bags(batches):
 
 
 def _run(sent, key, least, overlap, batches):
-    index = _benchmark(key, sent.value)
+    index = only(_benchmark(key, sent.value))
     for batch in batches:
         got = [(i, k, *m) for i, t, k in zip(*(batch.column(x).to_pylist() for x in range(3)), strict=True) for m in index.matches(t, least, overlap)]
         cols = list(zip(*got, strict=True)) if got else [[]] * 6

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import ALPHABET, batches
-from .common import Cache
+from .common import Cache, only
 
 #: Fixed value: the pre-token pattern of byte-level BPE.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -38,6 +38,9 @@ class MergeCounter:
         special = [t["content"] for t in spec["added_tokens"]]
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
 
+    def forget(self) -> None:
+        self.chunks.clear()
+
     def merged(self, data: bytes) -> int:
         """Symbols that are left of one pre-token's bytes."""
         sym, ranks = [self.first[b] for b in data], self.ranks
@@ -108,7 +111,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512) -> Data
     """
 
     def count(rows):
-        own = counter(tokenizer_path)
+        own = only(counter(tokenizer_path))
         for batch in rows:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             for a, b in batches(texts, most=4096):

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chunks import batches
-from .common import held_out, stored
+from .common import held_out, only, stored
 
 #: First and last code point of scripts.
 SCRIPTS = (("latin", 0x41, 0x24F), ("greek", 0x370, 0x3FF), ("cyrillic", 0x400, 0x52F), ("hebrew", 0x590, 0x5FF), ("arabic", 0x600, 0x6FF), ("devanagari", 0x900, 0x97F), ("thai", 0xE00, 0xE7F), ("hangul", 0xAC00, 0xD7AF), ("kana", 0x3040, 0x30FF), ("han", 0x4E00, 0x9FFF))
@@ -112,7 +112,7 @@ def train(docs: DataFrame, per_language: int = 400) -> bytes:
 class Labeller:
     """Labels whole texts; most_bytes bounds the words kept between texts."""
 
-    def __init__(self, model: bytes, penalty: float = 8.0, most_bytes: int = 96 << 20):
+    def __init__(self, model: bytes, penalty: float = 8.0, most_bytes: int = 64 << 20):
         self.names, self.logp, self.scripts = pickle.loads(model)
         self.penalty, self.most_bytes, self.floor = penalty, most_bytes, -12.0
         self.excluded = -1000 - 2 * penalty  # below what two switches cost: a language that lacks a word's script never gets it
@@ -123,6 +123,8 @@ class Labeller:
         self.used = 0
         self.table, self.weight, self.n = np.zeros((1024, len(self.names)), dtype=np.float32), np.zeros(1024), 0
 
+    forget = reset
+
     def scores(self, cores: list[str]) -> np.ndarray:
         """Log-likelihood of each word in each language; a bounded number of n-grams at a time, however long a word is."""
         g, at = grams(cores)
@@ -243,7 +245,7 @@ class Labeller:
         return self.names[top], float(share[top] / share.sum())
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def _labeller(key: int, model: bytes, penalty: float) -> Labeller:
     return Labeller(model, penalty)
 
@@ -258,7 +260,7 @@ def predict(docs: DataFrame, model: bytes, penalty: float = 8.0) -> DataFrame:
     sent, key = docs.sparkSession.sparkContext.broadcast(model), zlib.crc32(model)
 
     def label(rows):
-        own = _labeller(key, sent.value, penalty)
+        own = only(_labeller(key, sent.value, penalty))
         for batch in rows:
             texts = batch.column("text").to_pylist()
             got = [own.predict(t) for t in texts]
@@ -274,7 +276,7 @@ def keep_known(docs: DataFrame, model: bytes, least: float = 0.5, penalty: float
     at = docs.columns.index("text")
 
     def keep(rows):
-        own = _labeller(key, sent.value, penalty)
+        own = only(_labeller(key, sent.value, penalty))
         for batch in rows:
             got = [own.predict(t) for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array([lang != "und" and score >= least for lang, score in got], pa.bool_()))
