@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import sys
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -136,6 +138,9 @@ def only(owner=None):
         if other is not owner:
             other.forget()
     _filled[:] = [owner] if owner is not None else []
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # what was freed goes back to the system, where its library can do so
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
     return owner
 
 

@@ -112,7 +112,7 @@ def train(docs: DataFrame, per_language: int = 400) -> bytes:
 class Labeller:
     """Labels whole texts; most_bytes bounds the words kept between texts."""
 
-    def __init__(self, model: bytes, penalty: float = 8.0, most_bytes: int = 64 << 20):
+    def __init__(self, model: bytes, penalty: float = 8.0, most_bytes: int = 32 << 20):
         self.names, self.logp, self.scripts = pickle.loads(model)
         self.penalty, self.most_bytes, self.floor = penalty, most_bytes, -12.0
         self.excluded = -1000 - 2 * penalty  # below what two switches cost: a language that lacks a word's script never gets it
