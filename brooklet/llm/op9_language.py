@@ -38,9 +38,11 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     text = "".join(f"\x02{w}\x03\0\0" for w in words)
     c = np.frombuffer(text.encode("utf-32-le"), dtype="<u4").astype(np.uint64)
     at = np.cumsum([0] + [len(w) + 4 for w in words[:-1]]) if words else np.zeros(0, dtype=np.int64)
-    h, out = c.copy(), []
+    h, out, inside = c.copy(), [], c != 0
+    ok = inside
     for n in range(1, 5):
-        ok = c[n - 1 :] != 0
+        if n > 1:
+            ok = ok[:-1] & inside[n - 1 :]  # no n-gram reaches into the next word
         key = ((h * np.uint64(0x9E3779B97F4A7C15) + np.uint64(n)) >> np.uint64(20)) % np.uint64(BUCKETS)
         out.append(np.where(np.pad(ok, (0, n - 1)), np.pad(key, (0, len(c) - len(key))), np.uint64(BUCKETS)))
         h = h[:-1] * np.uint64(1_000_003) + c[n:]

@@ -414,6 +414,11 @@ def test_caches_are_bounded(spark):
     texts = [r[1] for r in rows[:50]] + ["é" * 300_000 + " w1 w2"]
     assert [label.predict(t) for t in texts] == [whole.predict(t) for t in texts]
     assert len(label.rows) < 3000
+    big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = op9_language.train(big)
+    small, whole = op9_language.Labeller(model, most_bytes=50_000), op9_language.Labeller(model)
+    texts = [r.text for r in big.select("text").limit(400).collect()]
+    assert [small.predict(t) for t in texts] == [whole.predict(t) for t in reversed(texts)][::-1]
 
 
 def test_op5_and_op9_repeats(spark):
