@@ -36,7 +36,12 @@ class Chunks(Cache):
 
     def __missing__(self, chunk: str):
         ids = self.make(chunk)
-        return self.keep(chunk, ids, len(ids) if ids else 0)
+        if (n := len(chunk)) <= self.longest:
+            self.used += 260 + 6 * n  # at least what the chunk, its ids and the entry take
+            if self.used > self.most_bytes:
+                self.clear()
+            self[chunk] = ids
+        return ids
 
 
 class ChunkEncoder:
@@ -45,7 +50,7 @@ class ChunkEncoder:
     most_bytes bounds the chunks that are kept.
     """
 
-    def __init__(self, path: str, most_bytes: int = 96 << 20):
+    def __init__(self, path: str, most_bytes: int = 128 << 20):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
