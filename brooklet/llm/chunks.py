@@ -8,10 +8,9 @@ Chunks for which this isn't so (empty, or with white space at an edge) send the
 from __future__ import annotations
 
 import functools
+import struct
 from unicodedata import is_normalized
 
-import numpy as np
-
 from .common import Cache
 
 #: Marks that, after letters, make one pre-token together in both families.
@@ -25,24 +24,44 @@ def _alphabet() -> dict[int, int]:
 
 
 ALPHABET = _alphabet()
+SPACE = chr(ALPHABET[0x20])
 
 
 class Chunks(Cache):
-    """Ids of chunks that follow a space; False for a chunk that its text must not be cut at."""
+    """Ids of chunks that follow a space; False for a chunk that its text must not be cut at.
+
+    Where half the bytes are used the chunks become the old ones; those that come up again are taken over, the rest go
+    when the next half is used.
+    """
 
     def __init__(self, make, most_bytes: int):
-        super().__init__(most_bytes)
-        self.make = make
+        super().__init__(most_bytes // 2)
+        self.make, self.old = make, {}
+
+    def clear(self) -> None:
+        super().clear()
+        self.old = {}
 
     def __missing__(self, chunk: str):
-        ids = self.make(chunk)
+        if (ids := self.old.get(chunk)) is None:
+            ids = self.make(chunk)
         if (n := len(chunk)) <= self.longest:
             self.used += 260 + 6 * n  # at least what the chunk, its ids and the entry take
             if self.used > self.most_bytes:
+                kept = dict(self)
                 self.clear()
+                self.old = kept
             self[chunk] = ids
         return ids
 
+    def known(self, chunk: str):
+        """Ids of a chunk without keeping them; None if they aren't kept already."""
+        return self.get(chunk) or self.old.get(chunk)
+
+
+def _bytes(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
 
 class ChunkEncoder:
     """Ids of whole texts as little-endian uint32 bytes, as tokenizers gives them with add_special_tokens=False.
@@ -67,25 +86,27 @@ class ChunkEncoder:
         self.tails.clear()
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.lib.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return _bytes(self.lib.encode(text, add_special_tokens=False).ids)
 
     def learn(self, w: str):
         if not w or w[0].isspace() or w[-1].isspace():
             return False
-        core = w.rstrip(MARKS)
+        core = w if w.isalpha() else w.rstrip(MARKS)
         if core.isalpha() and (core.isascii() or (ord(max(core)) < 0x250 and "\u0130" not in core and is_normalized("NFC", core))):
             if len(core) == len(w):
                 return self.bpe(self.lead + core)
-            return self.cache[core] + self.tails[w[len(core) :]]
+            return (self.cache.known(core) or self.bpe(self.lead + core)) + self.tails[w[len(core) :]]
         return self.whole(" " + w)
 
     def bpe(self, token: str) -> bytes:
         """Ids of one pre-token by the library's model, which takes it in the byte-level alphabet."""
         if self.lower:
             token = token.lower()
-        if not token.isascii() or " " in token:
+        if token.isascii():  # letters and marks stand for themselves
+            token = token.replace(" ", SPACE)
+        else:
             token = token.encode().decode("latin-1").translate(ALPHABET)
-        return np.array([t.id for t in self.model.tokenize(token)], dtype="<u4").tobytes()
+        return _bytes([t.id for t in self.model.tokenize(token)])
 
     def one(self, text: str) -> bytes:
         head, *rest = text.split(" ")
