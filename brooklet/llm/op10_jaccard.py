@@ -10,7 +10,9 @@ as sets in shingles, so their Hamming distance is a metric that bounds the sets'
 and its pivot that the bound allows are verified exactly and link within the radius. A region that then still holds
 several components is joined in itself: sets are sorted by their sketch's distance to the pivot, and only those within a
 triangle-inequality window of each other are compared; what the sketches allow is verified. Regions too large for a task
-are split by the next round's parts and pivots. Nothing is dropped at any size: the result is the exact join's classes.
+are split by the next round's parts and pivots. A part that very many sets agree on is told from a sample beforehand and
+gets its pivot from there, so its sets needn't meet in one task. Nothing is dropped at any size: the result is the exact
+join's classes.
 
 Shingles are compared as 64-bit hashes.
 """
@@ -224,8 +226,60 @@ def _sets_of(rows):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["doc_id", "text_key", "n", "cls"])
 
 
-def _keys_of(rows):
-    """(key, cls, need) of the texts' parts; a copy that this task has seen before adds nothing."""
+#: A key is hot with more than this share of all rows: so at most 1 / HOT_SHARE keys are, and any other key's rows are
+#: no more than an average task's where there are at most as many tasks. Told from one text in SAMPLE, by its hash, and
+#: from HOT_LEAST sets there at least. Which keys are hot changes where rows lie, never what links.
+HOT_SHARE, SAMPLE, HOT_LEAST = 1e-5, 64, 16
+#: Tasks that a hot key's rows may be dealt to.
+SALTS = 1024
+
+
+class Hot:
+    """Hot keys and the pivot of each, any set that has the key."""
+
+    def __init__(self, region: np.ndarray, key: np.ndarray, pivot: np.ndarray):
+        ids = self.ids_of(region, key)
+        order = np.argsort(ids)
+        self.ids, self.pivots = ids[order], pivot[order]
+
+    @staticmethod
+    def ids_of(region, key: np.ndarray) -> np.ndarray:
+        return mixed(np.asarray(region).astype(U) * MUL[1] + key.astype(U))
+
+    def find(self, region, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which keys are hot, the pivots of those)."""
+        if not len(self.ids):
+            return np.zeros(len(key), dtype=bool), self.pivots
+        ids = self.ids_of(region, key)
+        at = np.minimum(np.searchsorted(self.ids, ids), len(self.ids) - 1)
+        found = self.ids[at] == ids
+        return found, self.pivots[at[found]]
+
+
+def _no_hot() -> Hot:
+    return Hot(*(np.zeros(0, dtype=np.int64) for _ in range(3)))
+
+
+def _hot(keys: DataFrame) -> Hot:
+    """Hot keys of a sample's keys ([region,] key, cls)."""
+    by = [c for c in ("region", "key") if c in keys.columns]
+    sample = stored(keys.select(*by, "cls").distinct(), "sample")
+    least = max(HOT_LEAST, HOT_SHARE * sample.count())
+    found = sample.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("cls").alias("pivot")).where(F.col("n") >= least).toArrow()
+    discard(sample)
+    region, key, pivot = (found.column(c).to_numpy() if c in found.column_names else np.zeros(len(found), dtype=np.int64) for c in ("region", "key", "pivot"))
+    return Hot(region, key, pivot)
+
+
+def _met(keys: DataFrame, parts: int) -> DataFrame:
+    """keys ([region,] key, cls, need), equal ones side by side in a task; those of a hot key (need < 0) in several tasks."""
+    by = [c for c in ("region", "key") if c in keys.columns]
+    salt = F.when(F.col("need") < 0, F.pmod("cls", F.lit(SALTS))).otherwise(0)
+    return keys.repartition(parts, *by, salt).sortWithinPartitions(*by, "cls")
+
+
+def _keys_of(hot: Hot, rows):
+    """(key, cls, need) of the texts' parts, need negative for a hot key; a copy that this task has seen before adds nothing."""
     seen: set[int] = set()
     out, n = [], 0
 
@@ -242,7 +296,8 @@ def _keys_of(rows):
                 seen.clear()
             seen.add(c)
             k, need = signed(s)
-            out.append((k.view(np.int64), np.full(len(k), c, dtype=np.int64), need))
+            k = k.view(np.int64)
+            out.append((k, np.full(len(k), c, dtype=np.int64), np.where(hot.find(0, k)[0], -need, need)))
             n += len(k)
             if n > 200_000:
                 yield batch_of()
@@ -251,27 +306,34 @@ def _keys_of(rows):
         yield batch_of()
 
 
-def _stars(region: bool, rows):
+def _stars(region: bool, hot: Hot, rows):
     """From rows sorted by (region, key, cls): (region, ring, pivot, member, hits, need) for each set of a key that several
-    sets have, its pivot among them; hits counts keys. Memory doesn't grow with a key's rows."""
+    sets have, its pivot among them; hits counts keys. A hot key's pivot is known; else it is the first set. Memory
+    doesn't grow with a key's rows."""
     last = (None, None, 0, 0, 0)  # region, key, pivot, the pivot's need, member
     for batch in rows:
         if not batch.num_rows:
             continue
         r = batch.column(0).to_numpy() if region else np.zeros(batch.num_rows, dtype=np.int64)
         k, c, need = (batch.column(int(region) + i).to_numpy() for i in range(3))
+        is_hot, known = (need < 0), None
+        if is_hot.any():
+            known, need = hot.find(r[is_hot], k[is_hot])[1], np.abs(need)
         new = np.concatenate([[(r[0], k[0]) != last[:2]], (k[1:] != k[:-1]) | (r[1:] != r[:-1])])
         start = np.maximum.accumulate(np.where(new, np.arange(len(k)), -1))
         pivot, its = (np.where(start >= 0, x[np.maximum(start, 0)], y) for x, y in ((c, last[2]), (need, last[3])))
         again = ~new & (c == np.concatenate([[last[4]], c[:-1]]))  # the same set from another task
-        further = np.flatnonzero((c != pivot) & ~again)
+        further = np.flatnonzero(((c != pivot) | is_hot) & ~again)
+        if known is not None:
+            pivot[is_hot] = known
         hits: Counter = Counter()
         needs = {}
         ring_of = k[further] & 255
         for x, n in zip(zip(r[further].tolist(), ring_of.tolist(), pivot[further].tolist(), c[further].tolist(), strict=True), need[further].tolist(), strict=True):
             hits[x] += 1
             needs[x] = n
-        first = further[np.unique(start[further], return_index=True)[1]]  # one row for each key here
+        cold = further[~is_hot[further]]
+        first = cold[np.unique(start[cold], return_index=True)[1]]  # one row for each key here; a hot key's pivot has its own
         for x, n in zip(zip(r[first].tolist(), (k[first] & 255).tolist(), pivot[first].tolist(), pivot[first].tolist(), strict=True), its[first].tolist(), strict=True):
             hits[x] += 1
             needs[x] = n
@@ -284,9 +346,9 @@ def _stars(region: bool, rows):
 STARS = "region long, ring long, pivot long, member long"
 
 
-def _likely(keys: DataFrame, region: bool) -> DataFrame:
+def _likely(keys: DataFrame, region: bool, hot: Hot) -> DataFrame:
     """Stars without members that share too few keys to link with any set, and without regions that keep one set."""
-    found = keys.mapInArrow(functools.partial(_stars, region), STARS + ", hits long, need long")
+    found = keys.mapInArrow(functools.partial(_stars, region, hot), STARS + ", hits long, need long")
     hits = stored(found.groupBy("region", "ring", "pivot", "member").agg(F.sum("hits").alias("hits"), F.max("need").alias("need")), "hits")
     enough = hits.groupBy("region", "ring", "member").agg(F.sum("hits").alias("hits"), F.max("need").alias("need")).where("hits >= need")
     kept = stored(hits.drop("hits", "need").join(enough.select("region", "ring", "member"), ["region", "ring", "member"], "left_semi"), "likely")
@@ -367,11 +429,13 @@ def _leaf(key, table: pa.Table) -> pa.Table:
     return pa.table({"u": pa.array(cols[0], pa.int64()), "v": pa.array(cols[1], pa.int64())})
 
 
-def _region_keys(seed: int, rows):
+def _region_keys(seed: int, hot: Hot, rows):
     for batch in _slices(rows):
         for r, c, s in zip(batch.column("region").to_pylist(), batch.column("cls").to_pylist(), _arrays(batch.column("s")), strict=True):
             k, need = signed(s.view(U), seed)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), r)), pa.array(k.view(np.int64)), pa.array(np.full(len(k), c)), pa.array(need, pa.int32())], names=["region", "key", "cls", "need"])
+            k = k.view(np.int64)
+            need = np.where(hot.find(np.full(len(k), r), k)[0], -need, need)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), r)), pa.array(k), pa.array(np.full(len(k), c)), pa.array(need, pa.int32())], names=["region", "key", "cls", "need"])
 
 
 def _with_component(df: DataFrame, comp: DataFrame, column: str, name: str) -> DataFrame:
@@ -386,8 +450,9 @@ def class_links(docs: DataFrame, classes: DataFrame, most_members: int = 8_000,
     most_members: sets of a region that one task joins; larger regions go to the next round.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = _texts(docs).mapInArrow(_keys_of, "key long, cls long, need int").repartition(parts, "key").sortWithinPartitions("key", "cls")
-    stars = _likely(keys, False)
+    texts, made = _texts(docs), "key long, cls long, need int"
+    hot = _hot(texts.where(F.pmod("text_key", F.lit(SAMPLE)) == 0).mapInArrow(functools.partial(_keys_of, _no_hot()), made))
+    stars = _likely(_met(texts.mapInArrow(functools.partial(_keys_of, hot), made), parts), False, hot)
     near = stars.select(F.explode(F.array("pivot", "member")).alias("cls")).distinct()
     ids = stored(classes.join(near, "cls").select("cls", F.col("own.doc_id").alias("own_id"), F.col("own.text_key").alias("own_key")), "near")
     n = ids.count()
@@ -449,9 +514,9 @@ def class_links(docs: DataFrame, classes: DataFrame, most_members: int = 8_000,
         if not large.limit(1).count():
             return comp
         again = both.join(large, "region").join(sets.select("cls", "s"), "cls").select("region", "cls", "s")
-        keys = again.mapInArrow(functools.partial(_region_keys, seed), "region long, key long, cls long, need int")
-        keys = keys.repartition(parts, "region", "key").sortWithinPartitions("region", "key", "cls")
-        stars = _likely(keys, True)
+        made = "region long, key long, cls long, need int"
+        hot = _hot(again.where(F.pmod(F.xxhash64("cls"), F.lit(SAMPLE)) == 0).mapInArrow(functools.partial(_region_keys, seed, _no_hot()), made))
+        stars = _likely(_met(again.mapInArrow(functools.partial(_region_keys, seed, hot), made), parts), True, hot)
         seed += 1
 
 

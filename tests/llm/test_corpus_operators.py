@@ -1,5 +1,6 @@
 """The corpus operators against brute force, round trips and held-out accuracy, with nulls, empties, ties, repeated rows and clashing columns."""
 
+import functools
 import itertools
 import random
 import zlib
@@ -578,8 +579,12 @@ def _brute(rows):
     return [(len(sets[i]), min(least[find(i)])) for i in range(len(rows))]
 
 
-@pytest.mark.parametrize("most_members", [20_000, 3])
-def test_op10(spark, monkeypatch, most_members):
+@pytest.mark.parametrize("most_members, hot_least", [(20_000, 16), (3, 16), (20_000, 1), (3, 2)])
+def test_op10(spark, monkeypatch, most_members, hot_least):
+    """hot_least 1 and 2: all keys are hot, and all that two sets have."""
+    if hot_least < 16:
+        for name, v in {"HOT_LEAST": hot_least, "HOT_SHARE": 0.0, "SAMPLE": 1}.items():
+            monkeypatch.setattr(op10_jaccard, name, v)
     random.seed(8)
     words = [f"w{i}" for i in range(3000)]
     shared = " ".join(random.choices(words, k=60))
@@ -602,6 +607,26 @@ def test_op10(spark, monkeypatch, most_members):
     assert op10_jaccard.jaccard_classes(df.limit(0)).count() == 0
 
 
+def test_op10_hot_key(spark):
+    """A part that all texts hold is found in the sample, and its rows are dealt over all tasks; others stay together."""
+    random.seed(13)
+    words = [f"w{i}" for i in range(500)]
+    shared = " ".join(random.choices(words, k=400))
+    rows = [(i, f"{shared} {' '.join(random.choices(words, k=30))}") for i in range(3000)]
+    texts = op10_jaccard._texts(spark.createDataFrame(rows, "doc_id long, text string"))
+    schema = "key long, cls long, need int"
+    sample = texts.where(F.pmod("text_key", F.lit(op10_jaccard.SAMPLE)) == 0)
+    hot = op10_jaccard._hot(sample.mapInArrow(functools.partial(op10_jaccard._keys_of, op10_jaccard._no_hot()), schema))
+    assert 0 < len(hot.ids) < 500
+    met = op10_jaccard._met(texts.mapInArrow(functools.partial(op10_jaccard._keys_of, hot), schema), 8)
+    per = met.withColumn("task", F.spark_partition_id()).groupBy("key", "task").agg(F.count("*").alias("n"), F.min("need").alias("need")).toPandas()
+    top = per.groupby("key").agg(n=("n", "sum"), tasks=("task", "size"), most=("n", "max"), need=("need", "min"))
+    assert (top[top.need > 0].tasks == 1).all() and (top[top.need < 0].tasks == 8).all()
+    assert (top.n > 1500).any() and top.most.max() < 3000 / 8 * 1.5
+    found, pivots = hot.find(0, top[top.need < 0].index.to_numpy())
+    assert found.all() and set(pivots.tolist()) <= {op10_jaccard._class(op10_jaccard.shingle_set(t)) for _, t in rows}
+
+
 def test_op10_null_ids_and_long_texts(spark):
     random.seed(12)
     words = [random.choice(["alpha", "beta", "gamma", "delta"]) + str(i) for i in range(200)]
