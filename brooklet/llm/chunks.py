@@ -63,6 +63,11 @@ def _bytes(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
+def _letters(core: str) -> bool:
+    """Letters that are one pre-token in both families, and that neither normalises (but for their case)."""
+    return core.isalpha() and (core.isascii() or (ord(max(core)) < 0x250 and "\u0130" not in core and is_normalized("NFC", core)))
+
+
 class ChunkEncoder:
     """Ids of whole texts as little-endian uint32 bytes, as tokenizers gives them with add_special_tokens=False.
 
@@ -77,6 +82,7 @@ class ChunkEncoder:
 
         self.lib = Tokenizer.from_file(path)
         self.cache, self.tails = Chunks(self.learn, most_bytes), Chunks(self.bpe, most_bytes // 8)
+        self.joints = Chunks(self.joint, 1 << 20)
         self.model = self.lib.model
         self.lower = self.whole("A") == self.whole("a")  # the family that lower-cases also drops white space
         self.lead = "" if self.lower else " "
@@ -84,6 +90,7 @@ class ChunkEncoder:
     def forget(self) -> None:
         self.cache.clear()
         self.tails.clear()
+        self.joints.clear()
 
     def whole(self, text: str) -> bytes:
         return _bytes(self.lib.encode(text, add_special_tokens=False).ids)
@@ -92,12 +99,23 @@ class ChunkEncoder:
         if not w or w[0].isspace() or w[-1].isspace():
             return False
         core = w if w.isalpha() else w.rstrip(MARKS)
-        if core.isalpha() and (core.isascii() or (ord(max(core)) < 0x250 and "\u0130" not in core and is_normalized("NFC", core))):
+        if _letters(core):
             if len(core) == len(w):
                 return self.bpe(self.lead + core)
             return (self.cache.known(core) or self.bpe(self.lead + core)) + self.tails[w[len(core) :]]
+        above, line, below = w.partition("\n")
+        if line:
+            core, start = above.rstrip(MARKS), below.rstrip(MARKS)
+            if _letters(core) and _letters(start) and (between := self.joints[above[len(core) :] + line]) is not False:
+                end = below[len(start) :]
+                return (self.cache.known(core) or self.bpe(self.lead + core)) + between + self.tails[start] + (self.tails[end] if end else b"")
         return self.whole(" " + w)
 
+    def joint(self, between: str):
+        """Ids of marks and a line end between letters; False where the letters around don't stand for themselves."""
+        ids, left, right = self.whole(f" a{between}b"), self.bpe(self.lead + "a"), self.bpe("b")
+        return ids[len(left) : len(ids) - len(right)] if ids.startswith(left) and ids.endswith(right) else False
+
     def bpe(self, token: str) -> bytes:
         """Ids of one pre-token by the library's model, which takes it in the byte-level alphabet."""
         if self.lower:

@@ -27,6 +27,16 @@ def odd(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_tokens long, start long")
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_chunks_over_line_ends(path):
+    """Marks and a line end between letters of all kinds, beside chunks that must not be cut there."""
+    random.seed(1)
+    parts = ["ab", "É", ".\n", "\n", "a.\nB", "é,\nÖl!", "A?!\n\nb", "a\nb", "a.\r\nb", "it's.\nIt", "İ.\nb", "a.\nİ", "a.\n.b", "a. \nb", "ſ.\nK", "3.\nb", "b.\n3", "ß-\nss"]
+    texts = [" ".join(random.choices(parts, k=6)) for _ in range(1000)]
+    lib = Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)
+    assert [np.frombuffer(b, dtype="<u4").tolist() for b in encoder(path).encode(texts)] == [x.ids for x in lib]
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     return spark.read.parquet(f"{SF}/documents.parquet")
