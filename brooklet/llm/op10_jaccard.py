@@ -9,8 +9,10 @@ ring are replicated into the next ring. A set's sketch has a byte for each part;
 as sets in shingles, so their Hamming distance is a metric that bounds the sets' difference from below. Pairs of a set
 and its pivot that the bound allows are verified exactly and link within the radius. A region that then still holds
 several components is joined in itself: sets are sorted by their sketch's distance to the pivot, and only those within a
-triangle-inequality window of each other are compared; what the sketches allow is verified. Regions too large for a task
-are split by the next round's parts and pivots. A part that very many sets agree on is told from a sample beforehand and
+triangle-inequality window of each other are compared; what the sketches allow is verified. Near copies lie in many
+regions together; a pair is compared in the largest of them. Regions too large for a task are split by the next round's
+parts and pivots; what doesn't get smaller by them, such as thousands of near copies of one text, is joined block by
+block. A part that very many sets agree on is told from a sample beforehand and
 gets its pivot from there, so its sets needn't meet in one task. Nothing is dropped at any size: the result is the exact
 join's classes.
 
@@ -382,6 +384,14 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 LINKED = "100 * common >= 80 * (np + nm - common)"
 
+def _open(comp: np.ndarray, settled: np.ndarray) -> np.ndarray:
+    """Positions of which each open pair holds at least one. A pair is open where its components differ and not both sets
+    lie in the region that settles this region's copies of its pairs."""
+    _, at, count = np.unique(comp, return_inverse=True, return_counts=True)
+    few = at != np.argmax(count)
+    return np.flatnonzero(few if np.count_nonzero(few) <= np.count_nonzero(~settled) else ~settled)
+
+
 def _window(key, table: pa.Table) -> pa.Table:
     """Sets of one region that may link with one of another component: a row for each, however many partners it has.
 
@@ -389,38 +399,56 @@ def _window(key, table: pa.Table) -> pa.Table:
     the most that two linked sets of these sizes can.
     """
     order = np.argsort(table.column("ham").to_numpy(), kind="stable")
-    cls, comp, ham, n = (table.column(k).to_numpy()[order] for k in ("cls", "component", "ham", "n"))
+    cls, comp, ham, n, settled = (table.column(k).to_numpy()[order] for k in ("cls", "component", "ham", "n", "settled"))
     rows = table.column("sketch").to_pylist()
     grid = np.frombuffer(b"".join(rows[i] for i in order), dtype=np.uint8).reshape(len(order), -1)
     most, active = 2 * int(n.max()) // 9, np.zeros(len(order), dtype=bool)
-    for i in range(len(order)):
-        stop = int(np.searchsorted(ham, ham[i] + most, side="right"))
-        j = i + 1 + np.flatnonzero(comp[i + 1 : stop] != comp[i])
+    todo = np.ones(len(order), dtype=bool)  # not compared with all others yet
+    for i in _open(comp, settled):
+        todo[i] = False
+        start, stop = np.searchsorted(ham, ham[i] - most), np.searchsorted(ham, ham[i] + most, side="right")
+        pairs = todo[start:stop] & (comp[start:stop] != comp[i])
+        if settled[i]:
+            pairs &= ~settled[start:stop]
         if active[i]:
-            j = j[~active[j]]
+            pairs &= ~active[start:stop]
+        j = start + np.flatnonzero(pairs)
         if len(j):
             j = j[np.count_nonzero(grid[j] != grid[i], axis=1) <= (n[j] + n[i]) // 9]
             active[j] = True
             active[i] |= len(j) > 0
     own = cls[active]
-    return pa.table({"region": pa.array(np.full(len(own), key[0].as_py()), pa.int64()), "cls": pa.array(own, pa.int64()), "component": pa.array(comp[active], pa.int64())})
+    return pa.table({"region": pa.array(np.full(len(own), key[0].as_py()), pa.int64()), "cls": pa.array(own, pa.int64()), "component": pa.array(comp[active], pa.int64()), "settled": pa.array(settled[active])})
+
+
+def _differences(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """For each set, as numbers from 0, the shingles that tell it from those that over half of the sets have."""
+    terms, at = np.unique(np.concatenate(sets), return_inverse=True)
+    usual = 2 * np.bincount(at, minlength=len(terms)) > len(sets)
+    centre, has, out = np.flatnonzero(usual), np.zeros(len(terms), dtype=bool), []
+    for own in np.split(at, np.cumsum([len(s) for s in sets])[:-1]):
+        has[own] = True
+        out.append(np.concatenate([own[~usual[own]], centre[~has[centre]]]))
+        has[own] = False
+    return out
 
 
 def _leaf(key, table: pa.Table) -> pa.Table:
-    """Links of one region's sets, as a spanning forest: each set against all others through postings of shingles."""
-    cls, comp = (table.column(k).to_numpy() for k in ("cls", "component"))
+    """Links of one region's sets, as a spanning forest: each set against all others through postings of the shingles by
+    which they differ from the region's usual ones. Two sets' difference is the sum of theirs less twice what those share,
+    whatever is taken as usual; so shingles that nearly all sets have cost nothing."""
+    cls, comp, settled = (table.column(k).to_numpy() for k in ("cls", "component", "settled"))
     sets = _arrays(table.column("s"))
-    size = np.array([len(s) for s in sets])
-    owner = np.repeat(np.arange(len(sets)), size)
-    terms, at = np.unique(np.concatenate(sets), return_inverse=True)
-    order = np.argsort(at, kind="stable")
-    posting = owner[order]
-    begin = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(terms)))])
-    ends, label, out = np.cumsum(size), comp.copy(), []
-    for i in range(len(sets)):
-        own = at[ends[i] - size[i] : ends[i]]
-        near = np.concatenate([posting[begin[t] : begin[t + 1]] for t in own])
-        common = np.bincount(near, minlength=len(sets))
+    size, own = np.array([len(s) for s in sets]), _differences(sets)
+    apart = np.array([len(d) for d in own])
+    at = np.concatenate(own)
+    posting = np.repeat(np.arange(len(sets)), apart)[np.argsort(at, kind="stable")]
+    begin = np.concatenate([[0], np.cumsum(np.bincount(at))])
+    label, out = comp.copy(), []
+    for i in _open(comp, settled):
+        near = [posting[begin[t] : begin[t + 1]] for t in own[i]]
+        shared = np.bincount(np.concatenate(near), minlength=len(sets)) if near else 0
+        common = (size[i] + size - apart[i] - apart) // 2 + shared
         for j in np.flatnonzero((100 * common >= 80 * (size[i] + size - common)) & (label != label[i])):
             if label[j] != label[i]:
                 out.append((int(cls[i]), int(cls[j])))
@@ -429,6 +457,34 @@ def _leaf(key, table: pa.Table) -> pa.Table:
     return pa.table({"u": pa.array(cols[0], pa.int64()), "v": pa.array(cols[1], pa.int64())})
 
 
+def _regions(stars: DataFrame, comp: DataFrame) -> DataFrame:
+    """Rows (region, ring, cls, component, ham, members, settled) of the regions that hold an open pair.
+
+    Near copies lie in many regions together, one for each pivot of their parts. A region leaves the pairs that both lie
+    in its parent to that: the region of most members (then id) that one of its sets lies in, taken for as many sets as
+    possible. Parents are larger in that order, so each pair is left in a region at last.
+    """
+    region = F.xxhash64("region", "ring", "pivot").alias("region")
+    both = stored(_with_component(stars.select(region, "ring", F.col("member").alias("cls"), "ham"), comp, "cls", "component"), "regions")
+    sizes = stored(both.groupBy("region").agg(F.count(F.lit(1)).alias("members"), (F.min("component") != F.max("component")).alias("several")), "sizes")
+    top = both.join(sizes, "region").groupBy("cls").agg(F.max(F.struct("members", "region"))["region"].alias("parent"))
+    parents = both.join(sizes.where("several"), "region").join(top, "cls").groupBy("region", "members").agg(F.mode("parent").alias("parent"))
+    parents = stored(parents.withColumn("parent", F.expr("nullif(parent, region)")), "parents")
+    lies = both.select("region", "cls").unionByName(stars.select(region, F.col("pivot").alias("cls")).distinct())
+    lies = lies.select(F.col("region").alias("parent"), "cls", F.lit(True).alias("settled"))
+    out = both.join(parents, "region").join(lies, ["parent", "cls"], "left").withColumn("settled", F.coalesce("settled", F.lit(False)))
+    out = stored(out.select("region", "ring", "cls", "component", "ham", "members", "settled"), "open")
+    return out.join(out.where("not settled").select("region").distinct(), "region", "left_semi")
+
+
+def _blocks(regions: DataFrame, most_members: int) -> DataFrame:
+    """Each region dealt into blocks, and a region for each two of them: any two sets meet in one."""
+    n, own = F.ceil(2 * F.col("members") / most_members), F.pmod(F.xxhash64("cls"), F.col("blocks"))
+    out = regions.withColumn("blocks", n).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    out = out.where("own != other").withColumn("region", F.xxhash64("region", F.least("own", "other"), F.greatest("own", "other")))
+    return out.select(*regions.columns)
+
+
 def _region_keys(seed: int, hot: Hot, rows):
     for batch in _slices(rows):
         for r, c, s in zip(batch.column("region").to_pylist(), batch.column("cls").to_pylist(), _arrays(batch.column("s")), strict=True):
@@ -447,7 +503,8 @@ def class_links(docs: DataFrame, classes: DataFrame, most_members: int = 8_000,
     """Components (node, component) of the classes (cls, own) of equal sets; None where no two sets can be near. own: id
     and text key of the row whose text stands for the class.
 
-    most_members: sets of a region that one task joins; larger regions go to the next round.
+    most_members: sets of a region that one task joins; larger regions go to a next round, and what is larger still then
+    is joined block by block.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts, made = _texts(docs), "key long, cls long, need int"
@@ -500,20 +557,18 @@ def class_links(docs: DataFrame, classes: DataFrame, most_members: int = 8_000,
         link(apart(maybe).groupBy("member").agg(F.min("pivot").alias("pivot")))
         link(apart(maybe))
         # Pairs with the pivot are settled. Regions whose other sets still lie in several components are joined in themselves.
-        both = stars.select(F.xxhash64("region", "ring", "pivot").alias("region"), "ring", F.col("member").alias("cls"), "ham")
-        both = stored(_with_component(both, comp, "cls", "component"), "regions")
-        sizes = both.groupBy("region").agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("c0"), F.max("component").alias("c1"))
-        sizes = stored(sizes.where("c0 != c1").select("region", "members"), "sizes")
-        drawn = sets.select("cls", "n", "rings", "sketches")
-        small = both.join(sizes.where(F.col("members") <= most_members).select("region"), "region").join(drawn, "cls")
-        small = small.select("region", "cls", "component", "ham", "n", F.element_at("sketches", F.array_position("rings", F.col("ring")).cast("int")).alias("sketch"))
-        active = stored(small.groupBy("region").applyInArrow(lambda key, t: _window(key, t), "region long, cls long, component long"), "windows")
+        found, is_large = _regions(stars, comp), F.col("members") > most_members
+        small, large = found.where(~is_large), found.where(is_large)
+        if seed > 1:  # what another seed's parts don't split is alike throughout
+            small = small.unionByName(_blocks(large, most_members))
+        small = small.join(sets.select("cls", "n", "rings", "sketches"), "cls")
+        small = small.select("region", "cls", "component", "settled", "ham", "n", F.element_at("sketches", F.array_position("rings", F.col("ring")).cast("int")).alias("sketch"))
+        active = stored(small.groupBy("region").applyInArrow(lambda key, t: _window(key, t), "region long, cls long, component long, settled boolean"), "windows")
         whole = active.join(sets.select("cls", "s"), "cls")
         add(whole.groupBy("region").applyInArrow(lambda key, t: _leaf(key, t), "u long, v long"))
-        large = sizes.where(F.col("members") > most_members).select("region")
-        if not large.limit(1).count():
+        if seed > 1 or not large.limit(1).count():
             return comp
-        again = both.join(large, "region").join(sets.select("cls", "s"), "cls").select("region", "cls", "s")
+        again = large.join(sets.select("cls", "s"), "cls").select("region", "cls", "s")
         made = "region long, key long, cls long, need int"
         hot = _hot(again.where(F.pmod(F.xxhash64("cls"), F.lit(SAMPLE)) == 0).mapInArrow(functools.partial(_region_keys, seed, _no_hot()), made))
         stars = _likely(_met(again.mapInArrow(functools.partial(_region_keys, seed, hot), made), parts), True, hot)

@@ -617,6 +617,39 @@ def test_op10(spark, monkeypatch, most_members, hot_least):
     assert op10_jaccard.jaccard_classes(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("most_members", [40, 8_000])
+def test_op10_copies_of_one_text(spark, monkeypatch, most_members):
+    """Many near copies of one text: their pairs are compared in few regions, and no further round is left to split them."""
+    random.seed(14)
+    words = [f"w{i}" for i in range(3000)]
+    base, rows, rounds, compared = random.choices(words, k=200), [], [], []
+    for i in range(240):
+        t = list(base)
+        for k in random.sample(range(200), random.randint(1, 12)):
+            t[k] = random.choice(words)
+        rows.append((i, " ".join(t)))
+    whole, likely, stored = op10_jaccard.class_links, op10_jaccard._likely, op10_jaccard.stored
+
+    def counted(*args):
+        rounds.append(1)
+        assert len(rounds) <= 2
+        return likely(*args)
+
+    def seen(df, tag):
+        out = stored(df, tag)
+        if tag == "windows":
+            compared.append(out.count())
+        return out
+
+    monkeypatch.setattr(op10_jaccard, "class_links", lambda d, c: whole(d, c, most_members=most_members))
+    monkeypatch.setattr(op10_jaccard, "_likely", counted)
+    monkeypatch.setattr(op10_jaccard, "stored", seen)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in op10_jaccard.jaccard_classes(df).collect()}
+    assert [got[i] for i, _ in rows] == _brute(rows)
+    assert most_members == 40 or sum(compared) <= 2 * len(rows)
+
+
 def test_op10_hot_key(spark):
     """A part that all texts hold is found in the sample, and its rows are dealt over all tasks; others stay together."""
     random.seed(13)
