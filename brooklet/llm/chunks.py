@@ -34,9 +34,10 @@ class Chunks(Cache):
     when the next half is used.
     """
 
-    def __init__(self, make, most_bytes: int):
+    def __init__(self, make, most_bytes: int, plain=None):
+        """plain: gives the ids of a chunk of ASCII letters, if there is a shorter way to them."""
         super().__init__(most_bytes // 2)
-        self.make, self.old = make, {}
+        self.make, self.old, self.plain = make, {}, plain or make
 
     def clear(self) -> None:
         super().clear()
@@ -44,7 +45,7 @@ class Chunks(Cache):
 
     def __missing__(self, chunk: str):
         if (ids := self.old.get(chunk)) is None:
-            ids = self.make(chunk)
+            ids = self.plain(chunk) if chunk.isalpha() and chunk.isascii() else self.make(chunk)
         if (n := len(chunk)) <= self.longest:
             self.used += 260 + 6 * n  # at least what the chunk, its ids and the entry take
             if self.used > self.most_bytes:
@@ -59,8 +60,11 @@ class Chunks(Cache):
         return self.get(chunk) or self.old.get(chunk)
 
 
+PACK = [struct.Struct(f"<{n}I").pack for n in range(33)]
+
+
 def _bytes(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+    return PACK[n](*ids) if (n := len(ids)) < len(PACK) else struct.pack(f"<{n}I", *ids)
 
 
 def _letters(core: str) -> bool:
@@ -81,11 +85,11 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.cache, self.tails = Chunks(self.learn, most_bytes), Chunks(self.bpe, most_bytes // 8)
-        self.joints = Chunks(self.joint, 1 << 20)
         self.model = self.lib.model
         self.lower = self.whole("A") == self.whole("a")  # the family that lower-cases also drops white space
         self.lead = "" if self.lower else " "
+        self.cache, self.tails = Chunks(self.learn, most_bytes, self._plain()), Chunks(self.bpe, most_bytes // 8)
+        self.joints = Chunks(self.joint, 1 << 20)
 
     def forget(self) -> None:
         self.cache.clear()
@@ -96,6 +100,8 @@ class ChunkEncoder:
         return _bytes(self.lib.encode(text, add_special_tokens=False).ids)
 
     def learn(self, w: str):
+        if (core := w.rstrip(MARKS)).isalpha() and w.isascii():
+            return (self.cache.known(core) or self.cache.plain(core)) + self.tails[w[len(core) :]]
         if not w or w[0].isspace() or w[-1].isspace():
             return False
         core = w if w.isalpha() else w.rstrip(MARKS)
@@ -111,6 +117,16 @@ class ChunkEncoder:
                 return (self.cache.known(core) or self.bpe(self.lead + core)) + between + self.tails[start] + (self.tails[end] if end else b"")
         return self.whole(" " + w)
 
+    def _plain(self):
+        """bpe(lead + word) for words of ASCII letters, which stand for themselves: with few calls, as most new chunks are such."""
+        tokenize, lower, lead, most = self.model.tokenize, self.lower, SPACE, len(PACK)
+
+        def plain(word: str) -> bytes:
+            ids = [t.id for t in tokenize(word.lower() if lower else lead + word)]
+            return PACK[n](*ids) if (n := len(ids)) < most else _bytes(ids)
+
+        return plain
+
     def joint(self, between: str):
         """Ids of marks and a line end between letters; False where the letters around don't stand for themselves."""
         ids, left, right = self.whole(f" a{between}b"), self.bpe(self.lead + "a"), self.bpe("b")

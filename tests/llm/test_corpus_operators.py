@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from brooklet.llm import op1_site_style, op2_records, op3_cover_tree, op4_packing, op5_toxicity, op6_decontamination, op7_token_counts, op8_secrets, op9_language, op10_jaccard
-from brooklet.llm.chunks import encoder
+from brooklet.llm.chunks import ChunkEncoder, encoder
 from brooklet.llm.common import components
 
 SF = "/root/testdata/sf0.001"
@@ -27,6 +27,23 @@ def odd(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_tokens long, start long")
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_chunks_of_plain_words(path, monkeypatch):
+    """New words of ASCII letters are learned by the short path alone, those with marks after it beside it; both as the library."""
+    random.seed(2)
+    words = ["".join(random.choices("abcdeinorstABT", k=random.choice([1, 3, 8, 60]))) for _ in range(2000)]
+    texts = [" " + " ".join(words), " " + " ".join(w + m for w, m in zip(words, random.choices(["", ",", ".", "...", "?!", ")", "-"], k=2000), strict=True))]
+    want = [x.ids for x in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    enc = ChunkEncoder(path, 1 << 18)  # drops chunks and learns them again
+    with monkeypatch.context() as m:
+        m.setattr(enc.cache, "make", lambda w: 1 / 0)
+        assert np.frombuffer(enc.encode(texts[:1])[0], dtype="<u4").tolist() == want[0]
+    enc.forget()
+    monkeypatch.setattr(enc, "bpe", lambda w: 1 / 0)
+    enc.tails.make = enc.tails.plain = ChunkEncoder(path).bpe
+    assert np.frombuffer(enc.encode(texts[1:])[0], dtype="<u4").tolist() == want[1]
+
+
 @pytest.mark.parametrize("path", [BYTE, WORD])
 def test_chunks_over_line_ends(path):
     """Marks and a line end between letters of all kinds, beside chunks that must not be cut there."""
