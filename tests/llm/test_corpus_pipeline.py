@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from brooklet.llm import op10_jaccard
 from brooklet.llm.common import stored
 
 SF = "/root/testdata/sf0.01"
@@ -87,3 +88,31 @@ def test_run(spark, tmp_path):
 def test_empty(spark, stage):
     empty = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     assert stage(spark, empty, SF).count() == 0
+
+
+def test_near_copies_of_one_text(spark, monkeypatch):
+    """Of many near copies of one text each group keeps its least id, and their pairs are compared in few regions."""
+    rng, compared, written = random.Random(15), [], op10_jaccard.stored
+    words = [f"w{i}" for i in range(3000)]
+    base, rows, sets, group = rng.choices(words, k=200), [], [], []
+    for i in range(150):
+        t = list(base)
+        for k in rng.sample(range(200), rng.randint(1, 12)):
+            t[k] = rng.choice(words)
+        rows.append((i, " ".join(t)))
+        s = set(zip(*(t[k:] for k in range(5)), strict=False))
+        near = [j for j in range(i) if 100 * len(s & sets[j]) >= 80 * len(s | sets[j])]
+        sets.append(s)
+        joined = {group[j] for j in near} | {i}
+        group = [min(joined) if g in joined else g for g in [*group, i]]
+
+    def seen(df, tag):
+        out = written(df, tag)
+        if tag == "windows":
+            compared.append(out.count())
+        return out
+
+    monkeypatch.setattr(op10_jaccard, "stored", seen)
+    kept = corpus_pipeline.near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(group))
+    assert sum(compared) <= 2 * len(rows)
