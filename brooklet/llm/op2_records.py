@@ -17,7 +17,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import batches, encoder
+from .chunks import AT_ONCE, batches, encoder
 from .common import only, removed, shared_dir, stored, tables
 
 #: Size of the input, as Spark estimates it, for each file.
@@ -87,7 +87,7 @@ def write_records(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
         enc, end = only(encoder(tokenizer_path)), np.array([end_id], dtype="<u4").tobytes()
         for batch in rows:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in batches(texts):
+            for a, b in batches(texts, AT_ONCE, 1 << 14):
                 if out is None:
                     name = f"part-{part:05d}-{uuid.uuid4().hex}"
                     out, marks = (where.open_output_stream(f"{base}/{name}.{x}") for x in ("rec", "idx"))

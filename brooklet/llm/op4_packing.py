@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .chunks import batches, encoder
+from .chunks import AT_ONCE, batches, encoder
 from .common import only, stored
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
@@ -29,7 +29,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, cap: int = 2048, end_id: int =
         schema = pa.schema([(k, pa.int64()) for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")] + [("ids", pa.binary())])
         for batch in rows:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in batches(texts):
+            for a, b in batches(texts, AT_ONCE, 1 << 14):
                 out = []
                 for i, raw in zip(ids[a:b], enc.encode(texts[a:b]), strict=True):
                     raw += end

@@ -54,6 +54,29 @@ def test_chunks_over_line_ends(path):
     assert [np.frombuffer(b, dtype="<u4").tolist() for b in encoder(path).encode(texts)] == [x.ids for x in lib]
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_pieces_are_learned_once(path, monkeypatch):
+    """A word comes to the model once for all texts of a call, whatever marks and line ends stand beside it, even where no cache holds it."""
+    random.seed(3)
+    words = sorted({"".join(random.choices("abcdeinorst", k=9)) for _ in range(300)})
+    texts = ["".join(random.choice(" \n") + w + random.choice(["", ",", "...", ")"]) for w in random.sample(words, len(words))) for _ in range(20)]
+    enc, calls = ChunkEncoder(path, 0), Counter()
+    plain = enc.cache.plain
+    monkeypatch.setattr(enc.cache, "plain", lambda w: calls.update([w]) or plain(w))
+    lib = Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)
+    assert [np.frombuffer(b, dtype="<u4").tolist() for b in enc.encode(texts)] == [x.ids for x in lib]
+    assert max(calls.values()) == 1 and {w.lstrip() for w in calls} == set(words)
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_cuts_beside_odd_characters(path):
+    """Where texts are cut changes no id, whatever character stands there, nor do the texts beside in the same call."""
+    odd = [chr(c) for c in [*range(0x600), 0x1680, 0x180E, *range(0x2000, 0x2070), *range(0x3000, 0x3010)]]
+    texts = [x.format(c) for c in odd for x in ("a.\n{0}b", "x{0}.y", "x {0}y", "x{0} y", "-{0}é\n-z", "\n{0}\nq", "q{0}{0}", " {0} a", "<|endoftext|>{0}\n\n<|endoftext|> {0}")]
+    lib = Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)
+    assert [np.frombuffer(b, dtype="<u4").tolist() for b in encoder(path).encode(texts)] == [x.ids for x in lib]
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     return spark.read.parquet(f"{SF}/documents.parquet")
