@@ -192,9 +192,9 @@ class ChunkEncoder:
 
 
 @functools.lru_cache(maxsize=4)
-def encoder(path: str) -> ChunkEncoder:
+def encoder(path: str, most_bytes: int = 128 << 20) -> ChunkEncoder:
     """One encoder for each tokenizer file and Python worker."""
-    return ChunkEncoder(path)
+    return ChunkEncoder(path, most_bytes)
 
 
 def batches(texts: list, most_chars: int = 1 << 20, most: int = 64):

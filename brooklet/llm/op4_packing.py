@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 from .chunks import AT_ONCE, batches, encoder
 from .common import only, stored
 
+#: Kept ids of words; less than the encoder's default, as packing runs in the pipeline beside a heap that earlier stages grew.
+CACHE_BYTES = 48 << 20
+
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
 
 
@@ -25,11 +28,11 @@ def pieces(docs: DataFrame, tokenizer_path: str, cap: int = 2048, end_id: int =
     """Pieces of every document's ids and end id; null text is empty. ids (little-endian uint32) are null unless asked for."""
 
     def cut(rows):
-        enc, end = only(encoder(tokenizer_path)), np.array([end_id], dtype="<u4").tobytes()
+        enc, end = only(encoder(tokenizer_path, CACHE_BYTES)), np.array([end_id], dtype="<u4").tobytes()
         schema = pa.schema([(k, pa.int64()) for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")] + [("ids", pa.binary())])
         for batch in rows:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in batches(texts, AT_ONCE, 1 << 14):
+            for a, b in batches(texts, AT_ONCE // 4, 1 << 14):
                 out = []
                 for i, raw in zip(ids[a:b], enc.encode(texts[a:b]), strict=True):
                     raw += end
